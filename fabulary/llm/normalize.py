@@ -54,6 +54,9 @@ def _blank_or_invisible(c: str) -> str | None:
 _INVISIBLE = set(INVISIBLE)
 
 
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]")  # rare; kept out of the segment class, whose search is fast only without them
+
+
 class _Translate(dict):
     def __missing__(self, point: int):
         c = chr(point)
@@ -72,13 +75,13 @@ def canonical_segment(segment: str) -> str:
 
 
 @lru_cache(maxsize=1)
-def _segments() -> re.Pattern:
-    """A character, and the unstable characters and marks after it."""
-    points = [*range(0x30000), *range(0xE0000, 0xE0200)]
+def _segments() -> tuple[re.Pattern, frozenset[str]]:
+    """Runs of unstable characters and marks; the marks that are stable when they stand alone."""
+    points = range(0x10000)
     joins: set[int] = {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}
     unstable: set[int] = set()
     for p in points:
-        if 0xD800 <= p < 0xE000 or 0xAC00 <= p <= 0xD7A3:
+        if 0xD800 <= p < 0xE000 or 0xAC00 <= p <= 0xD7A3 or 0x4E00 <= p < 0xA000:
             continue
         c = chr(p)
         if canonical_segment(c) != c:
@@ -87,7 +90,7 @@ def _segments() -> re.Pattern:
         if parts and parts[0] != "<" and " " in parts and unicodedata.normalize("NFC", c) == c:
             joins.add(int(parts.split(" ")[1], 16))
     marks = {p for p in points if not 0xD800 <= p < 0xE000 and unicodedata.combining(chr(p))}
-    return re.compile(f"(?s:.)?{_class(unstable | joins)}(?:{_class(unstable | joins | marks)})*|(?s:.)?{_class(marks)}{{2,}}")
+    return re.compile(_class(unstable | joins | marks) + "+"), frozenset(map(chr, marks - unstable - joins))
 
 
 def _class(points: set[int]) -> str:
@@ -115,7 +118,18 @@ def canonical(text: str | None) -> str | None:
     """The canonical form of one text."""
     if text is None or text.isascii() and "\t" not in text and "\x0b" not in text and "\x0c" not in text:
         return text
-    return _segments().sub(lambda m: _MEMO[m.group()], text)
+    if _ASTRAL.search(text):
+        return canonical_segment(text)
+    pattern, alone = _segments()
+    out, done = [], 0
+    for m in pattern.finditer(text):
+        start, end = m.span()
+        if end - start == 1 and text[start] in alone:
+            continue
+        start = max(done, start - 1)
+        out += (text[done:start], _MEMO[text[start:end]])
+        done = end
+    return "".join(out) + text[done:] if out else text
 
 
 @F.pandas_udf(StringType())
