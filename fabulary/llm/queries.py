@@ -44,3 +44,40 @@ def p2_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     form = canonical_text(F.col("text"))
     return _records(spark, sf_dir).select("record_kind", "record_id", F.md5(form).alias("canonical_md5"), (form != F.col("text")).alias("changed")).distinct()
+
+
+# ---- problem 1
+
+@query("select distinct para_id from paragraphs where length(text) > 1200")
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs that the splitter cuts into more than one piece; a text within the limit is never cut."""
+    from fabulary.llm.split import LIMIT, boundary_table
+
+    over = table(spark, sf_dir, "paragraphs").where(F.char_length("text") > LIMIT)
+    laid = boundary_table(over, "para_id", "text").groupBy("item").agg(F.sum(F.size("starts")).alias("pieces"))
+    return laid.where("pieces > 1").select(F.col("item").alias("para_id"))
+
+
+@query("select para_id, cast(length(text) as bigint) as n_chars, true as whole, true as within, true as overlapping from paragraphs where text <> '' group by para_id, text")
+def p1_pieces_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per paragraph: do its pieces give back the whole text, within the limit, with the overlap asked for?"""
+    from fabulary.llm.split import LIMIT, OVERLAP, split_texts
+
+    paragraphs = table(spark, sf_dir, "paragraphs")
+    pieces = split_texts(paragraphs, "para_id", "text")
+    skip = F.when(F.col("piece_no") == 0, 0).otherwise(OVERLAP)
+    body = F.expr(f"substring(piece, if(piece_no = 0, 1, {OVERLAP + 1}))")
+    per = pieces.groupBy("item").agg(
+        F.array_sort(F.collect_list(F.struct("piece_no", body.alias("body"), (F.col("end_char") - F.col("start_char") - skip).alias("n"), "start_char", "end_char"))).alias("p"), F.max(F.char_length("piece")).alias("longest")
+    )
+    joined = F.array_join(F.transform("p", lambda x: x["body"]), "")
+    gaps = F.forall(F.sequence(F.lit(1), F.greatest(F.size("p") - 1, F.lit(1))), lambda i: (i >= F.size("p")) | (F.element_at("p", i + 1)["start_char"] == F.element_at("p", i)["end_char"] - OVERLAP))
+    texts = paragraphs.where("text <> ''").select("para_id", "text").dropDuplicates(["para_id"])
+    return texts.join(per, texts["para_id"] == per["item"]).select("para_id", F.char_length("text").cast("long").alias("n_chars"), (joined == F.col("text")).alias("whole"), (F.col("longest") <= LIMIT).alias("within"), gaps.alias("overlapping"))
+
+
+@query()
+def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fabulary.llm.split import split_texts
+
+    return split_texts(table(spark, sf_dir, "paragraphs"), "para_id", "text").withColumnRenamed("item", "para_id")
