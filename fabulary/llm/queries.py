@@ -81,3 +81,28 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fabulary.llm.split import split_texts
 
     return split_texts(table(spark, sf_dir, "paragraphs"), "para_id", "text").withColumnRenamed("item", "para_id")
+
+
+# ---- problem 4
+
+def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = table(spark, sf_dir, "source_units").select(F.lit("source_units").alias("record_kind"), F.col("unit_id").alias("record_id"), F.col("body_text").alias("text"))
+    candidates = table(spark, sf_dir, "chapter_candidates").select(F.lit("chapter_candidates").alias("record_kind"), F.col("candidate_id").alias("record_id"), F.concat_ws(" ", "paragraphs").alias("text"))
+    return units.unionByName(candidates)
+
+
+@query()
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fabulary.llm.neardup import expand, near_duplicates
+
+    return expand(*near_duplicates(_versions(spark, sf_dir)))
+
+
+@query()
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per record its class of exact copies, and how many other texts the class is linked to."""
+    from fabulary.llm.neardup import near_duplicates
+
+    classes, pairs = near_duplicates(_versions(spark, sf_dir))
+    links = pairs.select("record_kind", F.explode(F.array("rep_a", "rep_b")).alias("rep")).groupBy("record_kind", "rep").agg(F.count("*").alias("linked_texts"))
+    return classes.join(links, ["record_kind", "rep"], "left").select("record_kind", "record_id", F.col("rep").alias("class_id"), "copies", F.coalesce("linked_texts", F.lit(0)).alias("linked_texts"))
