@@ -106,3 +106,36 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes, pairs = near_duplicates(_versions(spark, sf_dir))
     links = pairs.select("record_kind", F.explode(F.array("rep_a", "rep_b")).alias("rep")).groupBy("record_kind", "rep").agg(F.count("*").alias("linked_texts"))
     return classes.join(links, ["record_kind", "rep"], "left").select("record_kind", "record_id", F.col("rep").alias("class_id"), "copies", F.coalesce("linked_texts", F.lit(0)).alias("linked_texts"))
+
+
+# ---- problem 6
+
+@query()
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fabulary.llm.pairs import flag_pairs
+
+    return flag_pairs(table(spark, sf_dir, "llm_trials")).where("rank = 1").select("trial_key", "defect")
+
+
+@query()
+def p6_all_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fabulary.llm.pairs import flag_pairs
+
+    return flag_pairs(table(spark, sf_dir, "llm_trials"))
+
+
+# ---- problem 7
+
+@query()
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fabulary.llm.leakage import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).where("complete").select("doc_id", "item_id")
+
+
+@query()
+def p7_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and item with a verified window, with the longest run and the windows' similarity."""
+    from fabulary.llm.leakage import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
