@@ -166,3 +166,19 @@ def p9_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = documents.groupBy("doc_id").agg(F.min("source").alias("source"))
     flagged = F.count_if(F.col("score") >= THRESHOLD)
     return score_documents(documents).join(sources, "doc_id").groupBy("source").agg(F.count("*").alias("documents"), flagged.alias("flagged"), F.round(flagged / F.count("*"), 6).alias("rate"))
+
+
+# ---- problem 8
+
+@query()
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fabulary.llm.mixing import draw_mix
+
+    return draw_mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+@query()
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fabulary.llm.mixing import draw_mix
+
+    return draw_mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
