@@ -182,3 +182,48 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fabulary.llm.mixing import draw_mix
 
     return draw_mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+# ---- problem 5
+
+def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clusters = table(spark, sf_dir, "mention_clusters").where("mention_type = 'cast'").select("doc_id", F.lower("cluster_name").alias("name"), F.col("raw_spans").alias("originals"))
+    labels = table(spark, sf_dir, "overlay_characters").select("doc_id", F.lower("label").alias("name"), F.array("label").alias("originals"))
+    return clusters.unionByName(labels)
+
+
+@query()
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fabulary.llm.names import link_names, name_pairs
+
+    return name_pairs(link_names(_mentions(spark, sf_dir)))
+
+
+@query()
+def p5_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fabulary.llm.names import link_names
+
+    return link_names(_mentions(spark, sf_dir))
+
+
+# ---- problem 3
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paragraphs = table(spark, sf_dir, "paragraphs").select(F.lit("paragraph").alias("record_kind"), F.col("para_id").alias("record_id"), "text")
+    selections = table(spark, sf_dir, "anchored_selections").select(F.lit("selection").alias("record_kind"), F.col("selection_id").alias("record_id"), F.col("selected_text").alias("text"))
+    return paragraphs.unionByName(selections)
+
+
+@query()
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fabulary.llm.sentences import fit, sentence_ends
+
+    return sentence_ends(_texts(spark, sf_dir), fit(table(spark, sf_dir, "paragraphs"))).select("record_kind", "record_id", "end_char")
+
+
+@query()
+def p3_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentence units with their offsets, numbered within their record."""
+    from fabulary.llm.sentences import fit, sentence_ends
+
+    return sentence_ends(_texts(spark, sf_dir), fit(table(spark, sf_dir, "paragraphs")))
