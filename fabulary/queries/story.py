@@ -9,7 +9,7 @@ from fabulary.functions import text as X
 from fabulary.plans import scenes as S
 from fabulary.queries import query
 from fabulary.queries.ingest import PARA
-from fabulary.session import table
+from fabulary.session import cut, table
 
 CH = S.CH
 CLUS = "clus as (select distinct cluster_id, doc_id, chapter_id, ord, mention_type, cluster_name, raw_spans from mention_clusters)"
@@ -98,7 +98,8 @@ class Chapter:
         self.said = S.rule_mentions(self.para)
 
     def frames(self):
-        return S.frames(self.said, self.para)
+        """The frames, written once: boundaries, scenes and packets all read them."""
+        return cut(S.frames(self.said, self.para))
 
     def packets(self):
         fr = self.frames()
