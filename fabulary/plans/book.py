@@ -37,7 +37,8 @@ def boundary_edges(refs: DataFrame) -> DataFrame:
 
 def occurrences(said: DataFrame, refs: DataFrame) -> DataFrame:
     """One row per entity and chapter: how often it is mentioned, where first, and in which scene that is."""
-    m = said.where("mention_type <> 'time'").withColumn("key", X.key("plain")).where("key <> ''")
+    # A name without a Latin letter, digit or Hangul is its own key.
+    m = said.where("mention_type <> 'time'").withColumn("key", F.coalesce(F.nullif(X.key("plain"), F.lit("")), "plain")).where("key <> ''")
     o = m.groupBy("doc_id", "chapter_id", "key").agg(F.count("*").alias("mentions"), F.min("pid").alias("first_pid")).withColumn("idx", chapter_index())
     inside = o.join(refs.select("doc_id", "chapter_id", "scene_key", "start_pid", "end_pid"), ["doc_id", "chapter_id"]).where("first_pid between start_pid and end_pid")
     first = inside.groupBy("doc_id", "chapter_id", "key").agg(F.min("scene_key").alias("first_scene"))

@@ -30,6 +30,13 @@ def occurrences(clus: DataFrame, para: DataFrame) -> DataFrame:
 
     Occurrences of one span do not overlap.
     """
+    alone = _spots(clus, para).where(~F.col("before").rlike(r"[\p{L}\p{N}]") & ~F.col("after").rlike(r"[\p{L}\p{N}]"))
+    w = Window.partitionBy("cluster_id", "span", *CH, "pid").orderBy("start_char")
+    return alone.select("cluster_id", *CH, "ord", "mention_type", "span", "pid", "start_char", F.row_number().over(w).alias("occ"))
+
+
+def _spots(clus: DataFrame, para: DataFrame) -> DataFrame:
+    """Every place where the letters of a span stand, with the characters at its sides (empty at the ends of a text)."""
     spans = clus.select("cluster_id", *CH, "ord", "mention_type", F.explode("raw_spans").alias("span")).where("span <> ''").distinct()
     met = spans.join(para, CH).where(F.contains("text", "span"))
     parts = met.withColumn("parts", F.split("text", F.concat(F.lit("\\Q"), "span", F.lit("\\E")), -1))
@@ -37,9 +44,7 @@ def occurrences(clus: DataFrame, para: DataFrame) -> DataFrame:
     at = every.withColumn("start_char", F.length(F.expr("array_join(slice(parts, 1, k), span)")))
     before = F.when(F.col("start_char") == 0, "").otherwise(F.substr("text", F.col("start_char"), F.lit(1)))
     after = F.substr("text", F.col("start_char") + F.length("span") + 1, F.lit(1))
-    alone = at.where(~before.rlike(r"[\p{L}\p{N}]") & ~after.rlike(r"[\p{L}\p{N}]"))
-    w = Window.partitionBy("cluster_id", "span", *CH, "pid").orderBy("start_char")
-    return alone.select("cluster_id", *CH, "ord", "mention_type", "span", "pid", "start_char", F.row_number().over(w).alias("occ"))
+    return at.withColumns({"before": before, "after": after})
 
 
 # What the rule extractor takes for people, places and times.
@@ -65,6 +70,30 @@ def rule_mentions(para: DataFrame) -> DataFrame:
     return found.join(first.withColumn("ord", F.row_number().over(order)), [*CH, "mention_type", "plain"]).select(*CH, "ord", "mention_type", "span", "plain", "pid", "start_char")
 
 
+# Scripts whose words are not parted by blanks; Hangul puts particles after a name, but nothing before it.
+UNPARTED, PARTICLES = "ก-๛ぁ-ヿ一-鿿", "ᄀ-ᇿ가-힣"
+
+
+def located_mentions(clus: DataFrame, para: DataFrame) -> DataFrame:
+    """Mentions of the given clusters in every language, and those by rule that overlap none of them: columns as of rule_mentions.
+
+    A letter beside a span hides it only in scripts that part words. A cluster is the entity of its ord; a mention by rule
+    belongs to the first cluster of its name, and other entities by rule are numbered after the clusters.
+    """
+    letter = r"[\p{L}\p{N}]"
+    hidden = F.col("before").rlike(letter) & ~F.col("before").rlike(f"[{UNPARTED}]") | F.col("after").rlike(letter) & ~F.col("after").rlike(f"[{UNPARTED}{PARTICLES}]")
+    names = clus.select("cluster_id", X.plain_span("cluster_name").alias("name"))
+    given = _spots(clus, para).where(~hidden).join(names, "cluster_id").select(*CH, "ord", "mention_type", "span", F.coalesce("name", X.plain_span("span")).alias("plain"), "pid", "start_char")
+    known = given.groupBy(*CH, "mention_type", "plain").agg(F.min("ord").alias("known"))
+    top = clus.groupBy(*CH).agg((F.max("ord") + 1).alias("top"))
+    r, g = rule_mentions(para).alias("r"), given.alias("g")
+    same = [F.col(f"r.{c}") == F.col(f"g.{c}") for c in (*CH, "pid", "mention_type")]
+    over = (F.col("r.start_char") < F.col("g.start_char") + F.length("g.span")) & (F.col("g.start_char") < F.col("r.start_char") + F.length("r.span"))
+    more = r.join(g, [*same, over], "left_anti").join(known, [*CH, "mention_type", "plain"], "left").join(top, CH, "left")
+    more = more.withColumn("ord", F.coalesce("known", F.col("ord") + F.coalesce("top", F.lit(0))))
+    return given.unionByName(more.select(*given.columns))
+
+
 def entity_id(ord_col: str | Column = "ord") -> Column:
     return F.concat(F.lit("ent_"), X.padded(ord_col, 3))
 

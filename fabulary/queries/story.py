@@ -25,6 +25,17 @@ RULES = (
     " numbered as (select *, cast(row_number() over (partition by doc_id, chapter_id order by first_pid, mention_type, plain) as int) as ord from (select doc_id, chapter_id, mention_type, plain, min(pid) as first_pid from found group by all)),"
     " occ as (select f.*, n.ord from found f join numbered n using (doc_id, chapter_id, mention_type, plain))"
 )
+_BESIDE = {"b": "case when start_char = 0 then '' else substr(text, start_char, 1) end", "a": "substr(text, start_char + length(span) + 1, 1)"}
+LOCATED = (
+    OCC[: OCC.index(" occ as (")]
+    + rf" given as (select o.doc_id, o.chapter_id, o.ord, o.mention_type, o.span, coalesce(trim(regexp_replace(lower(trim(c.cluster_name)), '^(the|a|an)\s+', '')), trim(regexp_replace(lower(trim(o.span)), '^(the|a|an)\s+', ''))) as plain, o.pid, o.start_char from spot o join clus c using (cluster_id)"
+    rf" where not (regexp_matches({_BESIDE['b']}, '[\p{{L}}\p{{N}}]') and not regexp_matches({_BESIDE['b']}, '[{S.UNPARTED}]')) and not (regexp_matches({_BESIDE['a']}, '[\p{{L}}\p{{N}}]') and not regexp_matches({_BESIDE['a']}, '[{S.UNPARTED}{S.PARTICLES}]'))), "
+    + RULES.replace(" occ as (", " ruled as (")
+    + ", tops as (select doc_id, chapter_id, max(ord) + 1 as top from clus group by all),"
+    " known as (select doc_id, chapter_id, mention_type, plain, min(ord) as known from given group by all),"
+    " more as (select * from ruled r where not exists (select 1 from given g where g.doc_id = r.doc_id and g.chapter_id = r.chapter_id and g.pid = r.pid and g.mention_type = r.mention_type and r.start_char < g.start_char + length(g.span) and g.start_char < r.start_char + length(r.span))),"
+    " occ as (select doc_id, chapter_id, ord, mention_type, span, plain, pid, start_char from given union all select r.doc_id, r.chapter_id, coalesce(k.known, r.ord + coalesce(t.top, 0)), r.mention_type, r.span, r.plain, r.pid, r.start_char from more r left join known k using (doc_id, chapter_id, mention_type, plain) left join tops t using (doc_id, chapter_id))"
+)
 _EID = "concat('ent_', lpad(cast({o} as varchar), cast(greatest(3, length(cast({o} as varchar))) as int), '0'))"
 SCORES = (
     "seen as (select distinct doc_id, chapter_id, pid, ord from occ where mention_type = 'place'), many as (select doc_id, chapter_id, ord, count(*) as paragraphs from seen group by all),"
@@ -88,14 +99,19 @@ def upto(stage: str, select: str, more: str = "") -> str:
     return "with recursive " + ", ".join([PARA, CLUS, *steps]) + more + " " + select
 
 
+def located(sql: str) -> str:
+    """The SQL of steps fed by the located clusters, from that of the same steps fed by rule."""
+    return sql.replace(RULES, LOCATED)
+
+
 class Chapter:
-    """The steps over one set of tables, each built on the ones before."""
+    """The steps over one set of tables, each built on the ones before; fed by rule or by the located clusters."""
 
-    def __init__(self, spark, sf_dir):
+    def __init__(self, spark, sf_dir, located=False):
         self.para = S.paragraphs(table(spark, sf_dir, "paragraphs"))
         self.clus = S.clusters(table(spark, sf_dir, "mention_clusters"))
         self.occ = S.occurrences(self.clus, self.para)
-        self.said = S.rule_mentions(self.para)
+        self.said = S.located_mentions(self.clus, self.para) if located else S.rule_mentions(self.para)
 
     def frames(self):
         """The frames, written once: boundaries, scenes and packets all read them."""
@@ -219,10 +235,35 @@ def p05_scene_text(spark, sf_dir):
 @query(upto(PACKETS, "select doc_id, chapter_id, scene_id, start_pid, end_pid, len(pids) as n_paragraphs, len(cast_union) as n_cast, places[1] as first_place, time_signals[1] as first_time from pk"))
 def e2e_scene_summary(spark, sf_dir):
     """Scene boundaries and a summary of every scene: the flagship."""
-    p = Chapter(spark, sf_dir).packets()
+    return _summary(Chapter(spark, sf_dir).packets())
+
+
+def _summary(p):
     return p.select(*CH, "scene_id", "start_pid", "end_pid", F.size("pids").cast("long").alias("n_paragraphs"), F.size("cast_union").cast("long").alias("n_cast"), F.get("places", F.lit(0)).alias("first_place"), F.get("time_signals", F.lit(0)).alias("first_time"))
 
 
+@query(located(upto(RULES, "select doc_id, chapter_id, ord, mention_type, span, pid, start_char from occ")))
+def e00_located_mentions(spark, sf_dir):
+    """The located clusters in all languages, and what the rules find besides."""
+    return Chapter(spark, sf_dir, located=True).said.select(*CH, "ord", "mention_type", "span", "pid", F.col("start_char").cast("long"))
+
+
+@query(located(upto(FRAMES, "select doc_id, chapter_id, pid, active, place, times, narrative from fr")))
+def e06_located_frames(spark, sf_dir):
+    return Chapter(spark, sf_dir, located=True).frames().select(*CH, "pid", "active", "place", "times", "narrative")
+
+
+@query(located(upto(PACKETS, "select doc_id, chapter_id, scene_id, pids, cast_union, places, time_signals from pk")))
+def a01_located_scenes(spark, sf_dir):
+    return Chapter(spark, sf_dir, located=True).packets().select(*CH, "scene_id", "pids", "cast_union", "places", "time_signals")
+
+
+@query(located(upto(PACKETS, "select doc_id, chapter_id, scene_id, start_pid, end_pid, len(pids) as n_paragraphs, len(cast_union) as n_cast, places[1] as first_place, time_signals[1] as first_time from pk")))
+def e2e_located_summary(spark, sf_dir):
+    """e2e_scene_summary over chapters of every language."""
+    return _summary(Chapter(spark, sf_dir, located=True).packets())
+
+
 @query(upto(SCENES, "select o.doc_id, o.chapter_id, o.pid, o.span, min(s.scene_id) as scene_id from occ o join sc s on s.doc_id = o.doc_id and s.chapter_id = o.chapter_id and o.pid between s.start_pid and s.end_pid group by all"))
 def j04_pid_to_scene_range(spark, sf_dir):
     """The first scene whose closed range holds a mention's paragraph; an interval join inside the chapter."""

@@ -139,3 +139,13 @@ def test_scene_pipeline_partitions_the_story(spark, small):
     rows = p.select("doc_id", "chapter_id", "start_pid", "end_pid", "pids").collect()
     seen = [(r.doc_id, r.chapter_id, x) for r in rows for x in r.pids]
     assert len(seen) == len(set(seen)) and all(r.end_pid >= r.start_pid for r in rows)
+
+
+def test_located_clusters_feed_every_language(spark):
+    para = spark.createDataFrame([("d", "c", 0, "서연이 왔다."), ("d", "c", 1, "彼は泉子を見た。"), ("d", "e", 0, "Anna Marmeby sat in the mill.")], "doc_id string, chapter_id string, pid int, text string")
+    clus = spark.createDataFrame([(1, "d", "c", 0, "cast", "서연", ["서연"]), (2, "d", "c", 1, "cast", "泉子", ["泉子"]), (3, "d", "c", 2, "cast", "연이", ["연이"])], "cluster_id long, doc_id string, chapter_id string, ord int, mention_type string, cluster_name string, raw_spans array<string>")
+    said = scenes.located_mentions(clus, para)
+    got = {(r.chapter_id, r.pid, r.ord, r.plain, r.start_char) for r in said.where("mention_type = 'cast'").collect()}
+    assert got == {("c", 0, 0, "서연", 0), ("c", 1, 1, "泉子", 2), ("e", 0, 1, "anna marmeby", 0)}
+    active = {(r.chapter_id, r.pid): r.active for r in scenes.frames(said, para).collect()}
+    assert active["c", 0] == ["ent_000"] and active["c", 1] == ["ent_000", "ent_001"] and active["e", 0] == ["ent_001"]
