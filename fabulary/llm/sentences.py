@@ -11,8 +11,8 @@ vocabulary fall back to their shape (one letter, digits, inner dots, or a word).
 Forward-backward over the marks of a text turns this into posteriors: two states per mark, tied
 where only one word lies between two marks, as a one-word sentence is unlikely. A boundary is where
 the posterior is over one half. It ends after closing quotes and brackets. In Thai the closing mark
-is a blank outside quotes; a stretch longer than Thai sentences run is searched at every
-character with boundary and non-boundary counts of the character n-grams on both sides.
+is a blank outside quotes; stretches without one are parted in the best way, by the lengths of Thai
+sentences and by boundary and non-boundary counts of the character n-grams on both sides.
 
 Offsets count code points of the text as given; marks are found on a cleaned copy with an offset map
 (invisible characters left out, other forms of a character made plain). A text without a boundary is
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from fabulary.llm.normalize import INVISIBLE, LOOK_ALIKE
 
 VOCABULARY, STARTS, EM_STEPS, BACKOFF, ONE_WORD = 20_000, 400, 10, 2.0, -3.0
-THAI_GRAM, THAI_ODDS, THAI_TABLE = 4, 4.0, 50_000
+THAI_GRAM, THAI_TABLE = 4, 50_000
 
 MARKS = ".!?…。！？।॥｡"
 _MARK = re.compile(f"[{MARKS}]+")
@@ -223,14 +223,25 @@ class Model:
                 by.setdefault(kind, {}).setdefault(left, Counter())[right] += n
         for kind, lefts in by.items():
             self._fit(kind, lefts)
-        lengths = sorted(((int(k), n) for k, n in self.thai.pop("th-len").items()), reverse=True)
-        self.thai_longest, tail, total = 60, 0, sum(n for _, n in lengths)
-        for length, n in lengths:
-            tail += n
+        lengths = Counter({int(k): n for k, n in self.thai.pop("th-len").items() if int(k)})
+        total = sum(lengths.values())
+        longest, tail = 0, 0
+        for length in sorted(lengths, reverse=True):
+            tail += lengths[length]
             if tail > 0.001 * total:
-                self.thai_longest = int(1.3 * max(30, length))
+                longest = length
                 break
-        self.thai_sum = {k: max(1, sum(c.values())) for k, c in self.thai.items()}
+        # Log shares of the lengths up to the longest that is usual, each smoothed over its neighbours, and of any beyond it.
+        near = [sum(lengths[k + d] * w for d, w in ((-2, 1), (-1, 2), (0, 3), (1, 2), (2, 1))) / 9 for k in range(1, longest + 3)]
+        self.thai_lengths = [log((n + 1e-3) / (total + 1)) for n in near]
+        self.thai_beyond = log(1e-3 / (total + 1))
+        for k in ("th-l", "th-al", "th-r", "th-ar"):
+            for gram, n in list(self.thai[k].items()):
+                for size in range(1, len(gram)):
+                    self.thai[k][gram[-size:] if k[-1] == "l" else gram[:size]] += n
+        events = sum(n for gram, n in self.thai["th-l"].items() if len(gram) == 1)
+        self.thai_base = (events + 1) / (events + sum(n for gram, n in self.thai["th-al"].items() if len(gram) == 1) + 2)
+        self.thai_known: dict[tuple[str, str], float] = {}
 
     def _fit(self, kind: str, lefts: dict[str, Counter]) -> None:
         """Words before a full stop and marks are fitted apart.
@@ -307,20 +318,48 @@ class Model:
         follow = self.right.get((kind + family, right))
         return prior + (self.right.get(("lat" + family, right), 0.0) if follow is None else follow)
 
+    def _thai_odds(self, side: str, gram: str) -> float:
+        """How much a gram speaks for an event beside it; of grams seen seldom their shorter parts speak too."""
+        key = side, gram
+        if key not in self.thai_known:
+            p = base = self.thai_base
+            for k in range(1, len(gram) + 1):
+                part = gram[-k:] if side == "l" else gram[:k]
+                n = self.thai["th-" + side][part]
+                p = (n + BACKOFF * p) / (n + self.thai["th-a" + side][part] + BACKOFF)
+            self.thai_known[key] = log(p / (1 - p)) - log(base / (1 - base))
+        return self.thai_known[key]
+
     def _thai_inside(self, t: str, lo: int, hi: int) -> list[int]:
-        """Boundaries without a blank inside a stretch that is too long for one sentence."""
-        g, out, at = THAI_GRAM, [], lo
-        count, total = self.thai, self.thai_sum
-        for i in range(lo + 8, hi - 7):
-            if i - at < 8:
+        """Boundaries without a blank inside a stretch: the best way to part it into sentences.
+
+        A sentence counts by the odds of its length, a boundary by the odds of the characters beside it; none is inside quotes.
+        """
+        g, n, span, depth = THAI_GRAM, hi - lo, len(self.thai_lengths), 0
+        best, back, far = [0.0] * (n + 1), [0] * (n + 1), (float("-inf"), 0)
+        shut = float("-inf")
+        for j in range(1, n + 1):
+            c = t[lo + j - 1]
+            depth = 1 if c == "“" else 0 if c == "”" else depth
+            if j > span and best[j - span - 1] > far[0]:
+                far = best[j - span - 1], j - span - 1
+            if j < n and depth:
+                best[j] = shut
                 continue
-            left, right = t[max(lo, i - g) : i], t[i : i + g]
-            b = (count["th-l"][left] + 0.01) / total["th-l"] * (count["th-r"][right] + 0.01) / total["th-r"]
-            a = (count["th-al"][left] + 1) / total["th-al"] * (count["th-ar"][right] + 1) / total["th-ar"]
-            if log(b / a) > THAI_ODDS:
-                out.append(i)
-                at = i
-        return out
+            top, at = far[0] + self.thai_beyond, far[1]
+            for k in range(max(0, j - span), j):
+                score = best[k] + self.thai_lengths[j - k - 1]
+                if score > top:
+                    top, at = score, k
+            if j < n:
+                i = lo + j
+                top += self._thai_odds("l", t[max(lo, i - g) : i]) + self._thai_odds("r", t[i : min(hi, i + g)])
+            best[j], back[j] = top, at
+        out, j = [], back[n]
+        while j:
+            out.append(lo + j)
+            j = back[j]
+        return out[::-1]
 
     def ends(self, text: str) -> list[int]:
         """The offsets after the sentences of a text."""
@@ -330,9 +369,16 @@ class Model:
         kind = script(t)
         if kind == "th":
             found = _thai_blanks(t)
-            if found and self.thai["th-l"]:
+            if self.thai["th-l"]:
                 bounds = [0, *found, len(t)]
-                found = sorted({*found, *(x for lo, hi in zip(bounds, bounds[1:], strict=False) if hi - lo > self.thai_longest and "”" not in t[lo:hi] and ";" not in t[lo:hi] for x in self._thai_inside(t, lo, hi))})
+                inside = []
+                for lo, hi in zip(bounds, bounds[1:], strict=False):
+                    while lo < hi and t[lo] == " ":
+                        lo += 1
+                    # A list of things parted by ';' is one sentence.
+                    if ";" not in t[lo:hi]:
+                        inside += self._thai_inside(t, lo, hi)
+                found = sorted({*found, *inside})
         else:
             found = self._decode([(e, self.odds(kind, left, right), tied) for e, left, right, tied in marks(t, kind, self.starts)])
         whole = len(text)

@@ -124,3 +124,14 @@ def test_abuse(spark):
     assert [got[i] >= abuse.THRESHOLD for i in range(len(bad) + len(good))] == [True] * len(bad) + [False] * len(good)
     assert got[99] == 0.0 and None not in got
     assert abuse.score_documents(spark.createDataFrame(rows[:1], "doc_id long, text string").limit(0)).count() == 0
+
+
+def test_thai_without_blanks_is_parted(spark):
+    who, what, where = ["ภูชัย", "มณีทิพย์", "ธารดล", "นภาวรรณ"], ["ขายจดหมาย", "ลืมตะกร้า", "ซ่อมสมอ", "เปิดกุญแจ"], ["ริมคลอง", "ข้างโรงสี", "ในห้องใต้ดิน"]
+    said = [a + b + c for a in who for b in what for c in where]
+    rows = [(" ".join(said[(7 * i + k * 5) % len(said)] for k in range(4)),) for i in range(60)]
+    model = sentences.fit(spark.createDataFrame(rows, "text string"))
+    for some in (said[:2], said[3:40:5]):
+        ends = [sum(map(len, some[: k + 1])) for k in range(len(some))]
+        assert model.ends("".join(some)) == ends
+    assert model.ends(said[0]) == [len(said[0])] and model.ends("เตา;สมอ;" * 40) == [320]
