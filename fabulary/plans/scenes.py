@@ -54,7 +54,7 @@ TIME = r"\b(before dawn|at dusk|by noon|that winter|at low tide|some time later|
 
 
 def rule_mentions(para: DataFrame) -> DataFrame:
-    """Mentions by rule, the offline stand-in for a model: columns as of occurrences, without a cluster.
+    """Mentions by rule, the offline stand-in for a model, each span once in a paragraph, where its letters first stand.
 
     ord numbers the entities of a chapter by first sight; one entity is one plain span of one kind.
     """
@@ -65,6 +65,20 @@ def rule_mentions(para: DataFrame) -> DataFrame:
     )
     each = para.select(*CH, "pid", "text", F.explode(kinds).alias("k")).select(*CH, "pid", "text", "k.mention_type", F.explode(F.array_distinct("k.spans")).alias("span"))
     found = each.select(*CH, "pid", "mention_type", "span", X.plain_span("span").alias("plain"), (F.instr("text", F.col("span")) - 1).alias("start_char"))
+    return _numbered(found)
+
+
+def rule_occurrences(para: DataFrame) -> DataFrame:
+    """Every match of the rules at its own offset: columns and numbers as of rule_mentions."""
+    kinds = [("cast", CAST, 0), ("place", PLACE, 1), ("time", TIME, 1)]
+    lists = F.array(*[F.struct(F.lit(t).alias("mention_type"), F.regexp_extract_all("text", F.lit(p), 0).alias("whole"), F.regexp_extract_all("text", F.lit(p), g).alias("spans"), F.split("text", p, -1).alias("parts")) for t, p, g in kinds])
+    each = para.select(*CH, "pid", F.explode(lists).alias("k")).select(*CH, "pid", "k.*").select("*", F.posexplode("spans").alias("i", "span"))
+    # A span is at the end of its match.
+    end = F.length(F.array_join(F.slice("parts", 1, F.col("i") + 1), "")) + F.length(F.array_join(F.slice("whole", 1, F.col("i") + 1), ""))
+    return _numbered(each.select(*CH, "pid", "mention_type", "span", X.plain_span("span").alias("plain"), (end - F.length("span")).alias("start_char")))
+
+
+def _numbered(found: DataFrame) -> DataFrame:
     first = found.groupBy(*CH, "mention_type", "plain").agg(F.min("pid").alias("first_pid"))
     order = Window.partitionBy(*CH).orderBy("first_pid", "mention_type", "plain")
     return found.join(first.withColumn("ord", F.row_number().over(order)), [*CH, "mention_type", "plain"]).select(*CH, "ord", "mention_type", "span", "plain", "pid", "start_char")
@@ -86,7 +100,7 @@ def located_mentions(clus: DataFrame, para: DataFrame) -> DataFrame:
     given = _spots(clus, para).where(~hidden).join(names, "cluster_id").select(*CH, "ord", "mention_type", "span", F.coalesce("name", X.plain_span("span")).alias("plain"), "pid", "start_char")
     known = given.groupBy(*CH, "mention_type", "plain").agg(F.min("ord").alias("known"))
     top = clus.groupBy(*CH).agg((F.max("ord") + 1).alias("top"))
-    r, g = rule_mentions(para).alias("r"), given.alias("g")
+    r, g = rule_occurrences(para).alias("r"), given.alias("g")
     same = [F.col(f"r.{c}") == F.col(f"g.{c}") for c in (*CH, "pid", "mention_type")]
     over = (F.col("r.start_char") < F.col("g.start_char") + F.length("g.span")) & (F.col("g.start_char") < F.col("r.start_char") + F.length("r.span"))
     more = r.join(g, [*same, over], "left_anti").join(known, [*CH, "mention_type", "plain"], "left").join(top, CH, "left")

@@ -10,7 +10,7 @@ from fabulary.plans import book as B
 from fabulary.plans import graph as G
 from fabulary.queries import query
 from fabulary.queries.reader import MEM, Support
-from fabulary.queries.story import _EID, PACKETS, located, upto
+from fabulary.queries.story import _EID, PACKETS, every, located, upto
 from fabulary.session import cut, table
 
 _KEY = "regexp_replace(regexp_replace(lower(trim({c})), '[^a-z0-9가-힣]+', '_', 'g'), '^_+|_+$', '', 'g')"
@@ -82,6 +82,13 @@ def a07_entity_threads(spark, sf_dir):
     return B.threads(B.occurrences(b.said, b.refs()))
 
 
+@query(every(sql("select doc_id, key, count(*) as chapters, cast(sum(mentions) as bigint) as mentions, min(idx) as first_idx, max(idx) as last_idx from bo group by all having count(*) >= 2", REFS + BOCC)))
+def a07_every_mention(spark, sf_dir):
+    """a07_entity_threads with every mention by rule counted."""
+    b = Book(spark, sf_dir, every=True)
+    return B.threads(B.occurrences(b.said, b.refs()))
+
+
 def _keyed(sql: str) -> str:
     """Names without a Latin letter, digit or Hangul are their own key."""
     return sql.replace(BOCC, BOCC.replace(f"{_KEY.format(c='plain')} as key", f"coalesce(nullif({_KEY.format(c='plain')}, ''), plain) as key"))

@@ -25,12 +25,18 @@ RULES = (
     " numbered as (select *, cast(row_number() over (partition by doc_id, chapter_id order by first_pid, mention_type, plain) as int) as ord from (select doc_id, chapter_id, mention_type, plain, min(pid) as first_pid from found group by all)),"
     " occ as (select f.*, n.ord from found f join numbered n using (doc_id, chapter_id, mention_type, plain))"
 )
+_KIND = "{{'t': '{t}', 'm': regexp_extract_all(text, '{p}', 0), 's': regexp_extract_all(text, '{p}', {g}), 'p': string_split_regex(text, '{p}')}}"
+EVERY = (
+    "kinds as (select doc_id, chapter_id, pid, unnest([" + ", ".join(_KIND.format(t=t, p=p, g=g) for t, p, g in (("cast", S.CAST, 0), ("place", S.PLACE, 1), ("time", S.TIME, 1))) + "]) as k from para),"
+    r" found as (select doc_id, chapter_id, pid, k.t as mention_type, k.s[i] as span, trim(regexp_replace(lower(trim(k.s[i])), '^(the|a|an)\s+', '')) as plain, length(array_to_string(k.p[1:i], '')) + length(array_to_string(k.m[1:i], '')) - length(k.s[i]) as start_char from (select *, unnest(range(1, len(k.m) + 1)) as i from kinds)),"
+    + RULES[RULES.index(" numbered as (") :]
+)
 _BESIDE = {"b": "case when start_char = 0 then '' else substr(text, start_char, 1) end", "a": "substr(text, start_char + length(span) + 1, 1)"}
 LOCATED = (
     OCC[: OCC.index(" occ as (")]
     + rf" given as (select o.doc_id, o.chapter_id, o.ord, o.mention_type, o.span, coalesce(trim(regexp_replace(lower(trim(c.cluster_name)), '^(the|a|an)\s+', '')), trim(regexp_replace(lower(trim(o.span)), '^(the|a|an)\s+', ''))) as plain, o.pid, o.start_char from spot o join clus c using (cluster_id)"
     rf" where not (regexp_matches({_BESIDE['b']}, '[\p{{L}}\p{{N}}]') and not regexp_matches({_BESIDE['b']}, '[{S.UNPARTED}]')) and not (regexp_matches({_BESIDE['a']}, '[\p{{L}}\p{{N}}]') and not regexp_matches({_BESIDE['a']}, '[{S.UNPARTED}{S.PARTICLES}]'))), "
-    + RULES.replace(" occ as (", " ruled as (")
+    + EVERY.replace(" occ as (", " ruled as (")
     + ", tops as (select doc_id, chapter_id, max(ord) + 1 as top from clus group by all),"
     " known as (select doc_id, chapter_id, mention_type, plain, min(ord) as known from given group by all),"
     " more as (select * from ruled r where not exists (select 1 from given g where g.doc_id = r.doc_id and g.chapter_id = r.chapter_id and g.pid = r.pid and g.mention_type = r.mention_type and r.start_char < g.start_char + length(g.span) and g.start_char < r.start_char + length(r.span))),"
@@ -104,14 +110,19 @@ def located(sql: str) -> str:
     return sql.replace(RULES, LOCATED)
 
 
+def every(sql: str) -> str:
+    """The SQL of steps fed by every match of the rules, from that of the same steps fed by rule."""
+    return sql.replace(RULES, EVERY)
+
+
 class Chapter:
-    """The steps over one set of tables, each built on the ones before; fed by rule or by the located clusters."""
+    """The steps over one set of tables, each built on the ones before; fed by rule, by every match of the rules, or by the located clusters."""
 
-    def __init__(self, spark, sf_dir, located=False):
+    def __init__(self, spark, sf_dir, located=False, every=False):
         self.para = S.paragraphs(table(spark, sf_dir, "paragraphs"))
         self.clus = S.clusters(table(spark, sf_dir, "mention_clusters"))
         self.occ = S.occurrences(self.clus, self.para)
-        self.said = S.located_mentions(self.clus, self.para) if located else S.rule_mentions(self.para)
+        self.said = S.located_mentions(self.clus, self.para) if located else S.rule_occurrences(self.para) if every else S.rule_mentions(self.para)
 
     def frames(self):
         """The frames, written once: boundaries, scenes and packets all read them."""
@@ -156,6 +167,12 @@ def e00_rule_mentions(spark, sf_dir):
     return Chapter(spark, sf_dir).said.select(*CH, "ord", "mention_type", "span", "pid", F.col("start_char").cast("long"))
 
 
+@query(every(upto(RULES, "select doc_id, chapter_id, ord, mention_type, span, pid, start_char from occ")))
+def e00_rule_occurrences(spark, sf_dir):
+    """What the offline extractor finds, every match at its own offset."""
+    return Chapter(spark, sf_dir, every=True).said.select(*CH, "ord", "mention_type", "span", "pid", F.col("start_char").cast("long"))
+
+
 @query(upto(OCC, "select doc_id, chapter_id, pid, mention_type, count(*) as mentions, count(distinct cluster_id) as entities from occ group by all"))
 def a02_mentions_per_paragraph(spark, sf_dir):
     return Chapter(spark, sf_dir).occ.groupBy(*CH, "pid", "mention_type").agg(F.count("*").alias("mentions"), F.count_distinct("cluster_id").alias("entities"))
@@ -173,6 +190,13 @@ def e07_place_scores(spark, sf_dir):
     return S.place_scores(c.said, c.para)
 
 
+@query(every(upto(SCORES, "select * from scores")))
+def e07_every_place_score(spark, sf_dir):
+    """e07_place_scores with every match read, so a preposition before any of them counts."""
+    c = Chapter(spark, sf_dir, every=True)
+    return S.place_scores(c.said, c.para)
+
+
 @query(upto(ACTIVE, "select doc_id, chapter_id, pid, active from act"))
 def w02_active_cast(spark, sf_dir):
     c = Chapter(spark, sf_dir)

@@ -149,3 +149,13 @@ def test_located_clusters_feed_every_language(spark):
     assert got == {("c", 0, 0, "서연", 0), ("c", 1, 1, "泉子", 2), ("e", 0, 1, "anna marmeby", 0)}
     active = {(r.chapter_id, r.pid): r.active for r in scenes.frames(said, para).collect()}
     assert active["c", 0] == ["ent_000"] and active["c", 1] == ["ent_000", "ent_001"] and active["e", 0] == ["ent_001"]
+
+
+def test_every_match_of_the_rules_counts(spark):
+    text = "Millstone by the mill. Anna Marmeby sat in the mill, and Anna Marmeby slept at the mill before dawn."
+    para = spark.createDataFrame([("d", "c", 0, text)], "doc_id string, chapter_id string, pid int, text string")
+    rows = scenes.rule_occurrences(para).collect()
+    assert sorted((r.start_char, r.span) for r in rows if r.mention_type == "cast") == [(23, "Anna Marmeby"), (57, "Anna Marmeby")]
+    assert len(rows) == 5 and all(text[r.start_char :].startswith(r.span) for r in rows)
+    places = [r for r in rows if r.mention_type == "place"]
+    assert len(places) == 2 and all(text[: r.start_char].endswith(" the ") for r in places)
