@@ -34,7 +34,7 @@ from pyspark.sql.types import BooleanType, IntegerType
 from fabulary.llm.normalize import canonical
 from fabulary.session import cut
 
-GIVEN_BOOKS, GIVEN_MOST, ROUNDS = 3, 50_000, 6
+GIVEN_BOOKS, GIVEN_MOST = 3, 50_000
 
 # Nicknames by the first name they stand for.
 NICKNAMES = {
@@ -255,7 +255,8 @@ def link_names(mentions: DataFrame) -> DataFrame:
     member = cut(all_recs.join(label, all_recs["rec"] == label["node"]).select("doc_id", "rec", "name", F.col("label").alias("entity")))
     settled = cut(sure.select("rec").distinct())
 
-    for _ in range(ROUNDS):
+    # Ends, as every round but the last settles records.
+    while True:
         # Profiles: every full form, and every surname that a settled record spells, with the profile's first names.
         known = member.join(settled, "rec", "left_semi").select("rec", "entity")
         spelled = known.join(forms, "rec").select("doc_id", "entity", "kind", "first", "last")

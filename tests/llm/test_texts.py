@@ -45,6 +45,13 @@ def test_names(spark):
     assert names.name_pairs(names.link_names(df.limit(0))).count() == 0
 
 
+def test_names_join_until_nothing_joins(spark):
+    last = ["Klotheind", "Marmeby", "Pinernick", "Hollowane", "Thurmeil", "Weickelt", "Gorsafen", "Bractone", "Dulverin"]
+    rows = [("b", f"edward {last[0]}".lower(), [f"Edward {last[0]}"])] + [("b", f"link {k}", [f"E. {a}", f"E. {b}"]) for k, (a, b) in enumerate(zip(last, last[1:]))]
+    groups = {r.entity for r in names.link_names(spark.createDataFrame(rows, "doc_id string, name string, originals array<string>")).collect()}
+    assert len(groups) == 1
+
+
 def test_slips():
     assert names.slips("klotheind", "klothiend") == 1 and names.slips("abcd", "abcd") == 0 and names.slips("abcd", "abxy") == 2
     assert names.slips("pinernick", "pinemick") == 1 and names.slips("abcde", "abde") == 1
