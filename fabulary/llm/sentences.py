@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from fabulary.llm.normalize import INVISIBLE, LOOK_ALIKE
 
-VOCABULARY, STARTS, EM_STEPS, BACKOFF, ONE_WORD = 20_000, 400, 10, 2.0, -3.0
+VOCABULARY, STARTS, EM_STEPS, EM_NEAR, BACKOFF, ONE_WORD = 20_000, 400, 25, 1e-4, 2.0, -3.0
 THAI_GRAM, THAI_TABLE = 4, 50_000
 
 MARKS = ".!?…。！？।॥｡"
@@ -269,7 +269,9 @@ class Model:
         no = {r: {"l": 0.5, "U": 0.3, "U.": 0.05, "rest": 0.99, "C": 0.9, "digit": 0.15, "PUNCT": 0.1, "dash-l": 0.05, "to": 0.5, "END": 0.001, "open": 0.005}.get(r, 0.02 / words if r.startswith("U:") else 0.01) for r in kinds}
         if family == "mark" and kind == "lat":
             no |= {r: 0.01 / words for r in kinds if r[0] == "U"}
+        prior: dict[str, float] = {}
         for _ in range(EM_STEPS):
+            before = prior
             up, down, prior = Counter(), Counter(), {}
             for left, c in lefts.items():
                 if by_type:
@@ -288,7 +290,7 @@ class Model:
                     p = (hits + BACKOFF * 0.5) / (sum(c.values()) + BACKOFF)
                     self.left[kind, left] = p
                 prior[left] = p
-            if kind != "lat":
+            if kind != "lat" or before and max(abs(p - before[left]) for left, p in prior.items()) < EM_NEAR:
                 break
             # The end of a text ends a sentence; where no event stands, a text does not end but by a cut.
             yes = {r: (up[r] + 0.5) / (sum(up.values()) + 0.5 * len(kinds)) for r in kinds}

@@ -20,6 +20,15 @@ def test_sentences(spark):
     assert sentences.sentence_ends(df.limit(0), model).count() == 0
 
 
+def test_training_runs_until_it_settles(monkeypatch):
+    counts = {"<?>": (1, 1, 1, 60), "<…>": (5, 2, 5, 5), "<.)>": (60, 1, 2, 1)}
+    rows = [("lat", left, right, n) for left, each in counts.items() for right, n in zip(("U", "l", "END", "open"), each)]
+    settled = sentences.Model(rows, frozenset())
+    monkeypatch.setattr(sentences, "EM_STEPS", 400)
+    far = sentences.Model(rows, frozenset())
+    assert all(abs(settled.left[k] - far.left[k]) < 0.02 for k in far.left)
+
+
 def test_offsets_survive_invisible_characters():
     t, offsets = sentences.clean("a​b. Сat")
     assert t == "ab. Cat" and offsets == [0, 2, 3, 4, 5, 6, 7]
