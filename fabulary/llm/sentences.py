@@ -81,8 +81,8 @@ _WIDE = re.compile("[ऀ-ॿก-๛ᄀ-ᇿぁ-ヿ一-鿿가-힣ｦ-ﾟ]")
 def script(text: str) -> str:
     if text.isascii() or not _WIDE.search(text):
         return "lat"
-    best = max(((len(p.findall(text[:400])), s) for s, p in _SCRIPT if p.search(text)), default=(0, "lat"))
-    latin = len(re.findall("[A-Za-z]", text[:400]))
+    best = max(((len(p.findall(text)), s) for s, p in _SCRIPT if p.search(text)), default=(0, "lat"))
+    latin = len(re.findall("[A-Za-z]", text))
     if best[1] == "zh" and re.search("[ぁ-ヿ]", text):
         return "ja"
     return best[1] if best[0] * 2 >= latin and best[0] else "lat"

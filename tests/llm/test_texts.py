@@ -20,6 +20,11 @@ def test_sentences(spark):
     assert sentences.sentence_ends(df.limit(0), model).count() == 0
 
 
+def test_script_is_told_from_the_whole_text():
+    assert sentences.script("ภูชัยขายจดหมาย " * 30 + "The carter sold the lamp. " * 60) == "lat"
+    assert sentences.script("The carter sold the lamp. " * 20 + "ภูชัยขายจดหมาย " * 200) == "th"
+
+
 def test_training_runs_until_it_settles(monkeypatch):
     counts = {"<?>": (1, 1, 1, 60), "<…>": (5, 2, 5, 5), "<.)>": (60, 1, 2, 1)}
     rows = [("lat", left, right, n) for left, each in counts.items() for right, n in zip(("U", "l", "END", "open"), each)]
