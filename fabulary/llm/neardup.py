@@ -8,14 +8,20 @@ bins; in each bin the `ell` least hashes are kept in the order in which they sta
 texts meet in a bin when they share these k-mers in the same order, which depends on edits and on
 order, not on the mere set of k-mers. Candidates are texts that meet in at least one bin.
 
+A hot bin, of more than `hot` texts, mostly holds a passage that many otherwise different texts share.
+Its texts are not paired off. Each gives its rarest shingles instead, by counts over all texts of hot
+bins: of n shingles the (1 - threshold) n + 1 rarest. Two texts over the threshold always share one of
+them, so this loses no pair, and texts that share only the passage hardly meet.
+
 Verification: the hash-sampled k-mers of both texts, in text order, are aligned within a band (the
-longest common subsequence, bit-parallel); a pair that aligns badly within the band is aligned
-without it, so that moved blocks lose no pair. Aligned candidates then pass the exact check: of the
-distinct runs of `shingle` characters in either text, the given share must occur in both.
+longest common subsequence, bit-parallel). A pair under `aligned` is aligned once more in segments
+that may each lie anywhere, so that moved blocks are recognised, and is rejected if it stays under.
+Aligned candidates then pass the exact check: of the distinct runs of `shingle` characters in either
+text, the given share must occur in both.
 
 Nulls and short texts take no part; repeated rows of one id count once (of different texts under one
-id the least counts). Classes of up to `star_from` exact copies are expanded into pairs; of larger
-ones, every member is paired with the class's first member, and the class table gives the rest.
+id the one with the least digest). The classes and the pairs of their representatives are the linear
+result; `expand` turns them into all pairs of linked records, exact copies among them.
 """
 
 from __future__ import annotations
@@ -29,9 +35,10 @@ from pyspark.sql import functions as F
 
 from fabulary.session import cut
 
-LEAST, SHINGLE, THRESHOLD, STAR_FROM = 400, 12, 0.6, 64
+LEAST, SHINGLE, THRESHOLD, HOT = 400, 12, 0.6, 200
 K, ELL, BIN_BITS = 24, 2, 5
-SAMPLE, BAND, ALIGNED = 8, 0.25, 0.3
+SAMPLED, BAND, ALIGNED, SEGMENT = 128, 0.25, 0.5, 16
+COUNT_BITS = 20
 
 U = np.uint64
 _BASE, _MULT = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
@@ -112,34 +119,82 @@ def aligned_share(a: list[int], b: list[int], band: float | None) -> float:
     return 2 * (len(a) - (row & full).bit_count()) / (len(a) + len(b))
 
 
+def moved_share(a: list[int], b: list[int]) -> float:
+    """The same with the shorter list cut into segments that may each lie anywhere in the other."""
+    if len(a) > len(b):
+        a, b = b, a
+    hits = sum(aligned_share(part, b, None) * (len(part) + len(b)) / 2 for part in (a[i : i + SEGMENT] for i in range(0, len(a), SEGMENT)))
+    return 2 * hits / (len(a) + len(b)) if a else 0.0
+
+
+def sampled(hashes: np.ndarray, rate: int) -> list[int]:
+    return hashes[hashes % U(rate) == 0].tolist()
+
+
 class _Prepared(dict):
-    """By text, its distinct shingles and its sampled k-mers in order."""
+    """By text, its distinct shingles and all of them in order."""
 
     def __init__(self, shingle: int) -> None:
         self.shingle = shingle
 
-    def __missing__(self, text: str) -> tuple[np.ndarray, list[int]]:
+    def __missing__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         hashes = kmer_hashes(text, self.shingle)
         if len(self) >= 64:
             self.clear()
-        self[text] = value = (np.unique(hashes), hashes[hashes % U(SAMPLE) == 0].tolist())
+        self[text] = value = (np.unique(hashes), hashes)
         return value
 
 
 def similarity(a: tuple, b: tuple) -> tuple[float, float]:
-    """The aligned share and the exact share of common shingles."""
-    aligned = aligned_share(a[1], b[1], BAND)
+    """The aligned share and the exact share of common shingles (0 where the alignment rejects the pair)."""
+    rate = max(1, min(len(a[1]), len(b[1])) // SAMPLED)
+    x, y = sampled(a[1], rate), sampled(b[1], rate)
+    aligned = aligned_share(x, y, BAND)
     if aligned < ALIGNED:
-        aligned = aligned_share(a[1], b[1], None)
+        aligned = moved_share(x, y)
+    if aligned < ALIGNED:
+        return aligned, 0.0
     common = len(np.intersect1d(a[0], b[0], assume_unique=True))
     return aligned, common / max(1, len(a[0]) + len(b[0]) - common)
 
 
+def rare_shingles(hashes: np.ndarray, counts: np.ndarray, threshold: float) -> np.ndarray:
+    """Of distinct shingles the rarest, as many as two texts over the threshold need to share one."""
+    order = np.lexsort((hashes, counts[(hashes >> U(64 - COUNT_BITS)).astype(np.int64)]))
+    return hashes[order[: len(hashes) - int(np.ceil(threshold * len(hashes) - 1e-9)) + 1]]
+
+
+def _rare_pairs(texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """texts: record_kind, rep, plain. Pairs (record_kind, rep_a, rep_b) that share a rare shingle; every pair over the threshold is among them."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(1 << COUNT_BITS, np.int64)
+        for rows in batches:
+            for t in rows["plain"]:
+                total += np.bincount((np.unique(kmer_hashes(t, shingle)) >> U(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS)
+        seen = np.flatnonzero(total)
+        yield pd.DataFrame({"bucket": seen, "n": total[seen]})
+
+    counts = np.zeros(1 << COUNT_BITS, np.int64)
+    for r in texts.select("plain").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():  # at most 2 ** COUNT_BITS rows
+        counts[r.bucket] = r.n
+    sent = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            whole = [np.unique(kmer_hashes(t, shingle)) for t in rows["plain"]]
+            yield pd.DataFrame({"record_kind": rows["record_kind"], "rep": rows["rep"], "size": [len(h) for h in whole], "keys": [rare_shingles(h, sent.value, threshold).view(np.int64) for h in whole]})
+
+    keyed = cut(texts.mapInPandas(rare, "record_kind string, rep string, size long, keys array<long>")).select("record_kind", "rep", "size", F.explode("keys").alias("key"))
+    met = keyed.alias("x").join(keyed.alias("y"), F.expr("x.key = y.key and x.record_kind = y.record_kind and x.rep < y.rep")).where(F.least("x.size", "y.size") >= threshold * F.greatest("x.size", "y.size") - 1e-9)
+    return met.select("x.record_kind", F.col("x.rep").alias("rep_a"), F.col("y.rep").alias("rep_b")).distinct()
+
+
 def letters_and_digits(col):
     return F.regexp_replace(F.lower(col), r"[^\p{L}\p{N}]+", "")
 
 
-def near_duplicates(records: DataFrame, least: int = LEAST, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(records: DataFrame, least: int = LEAST, shingle: int = SHINGLE, threshold: float = THRESHOLD, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """records: record_kind, record_id string, text. Out: classes and pairs of class representatives.
 
     classes: record_kind, rep, record_id, copies (records in the class); pairs: record_kind, rep_a, rep_b, aligned,
@@ -157,8 +212,16 @@ def near_duplicates(records: DataFrame, least: int = LEAST, shingle: int = SHING
     classes = one.join(reps, ["record_kind", "digest"]).select("record_kind", "rep", "record_id", "copies")
 
     bands = sketched.groupBy("record_kind", "digest").agg(F.first("bins").alias("bins")).join(reps, ["record_kind", "digest"]).select(F.explode("bins").alias("bin"), "record_kind", "rep")
-    pairs = bands.alias("x").join(bands.alias("y"), F.expr("x.bin = y.bin and x.record_kind = y.record_kind and x.rep < y.rep"))
-    pairs = cut(pairs.select("x.record_kind", F.col("x.rep").alias("rep_a"), F.col("y.rep").alias("rep_b")).distinct())
+    size = bands.groupBy("record_kind", "bin").agg(F.count("*").alias("texts")).where("texts > 1")
+    shared = cut(bands.join(size, ["record_kind", "bin"]))
+    cold = shared.where(F.col("texts") <= hot)
+    pairs = cold.alias("x").join(cold.alias("y"), F.expr("x.bin = y.bin and x.record_kind = y.record_kind and x.rep < y.rep"))
+    pairs = pairs.select("x.record_kind", F.col("x.rep").alias("rep_a"), F.col("y.rep").alias("rep_b"))
+    warm = shared.where(F.col("texts") > hot).select("record_kind", "rep").distinct()
+    if not warm.isEmpty():
+        crowd = plain.join(warm.withColumnRenamed("rep", "record_id"), ["record_kind", "record_id"], "left_semi").groupBy("record_kind", F.col("record_id").alias("rep")).agg(F.min_by("plain", F.unhex(F.md5("plain"))).alias("plain"))
+        pairs = pairs.unionByName(_rare_pairs(cut(crowd), shingle, threshold))
+    pairs = cut(pairs.distinct())
 
     wanted = pairs.select("record_kind", F.explode(F.array("rep_a", "rep_b")).alias("record_id")).distinct()
     texts = plain.join(wanted, ["record_kind", "record_id"], "left_semi").groupBy("record_kind", "record_id").agg(F.min_by("plain", F.unhex(F.md5("plain"))).alias("plain"))
@@ -170,19 +233,16 @@ def near_duplicates(records: DataFrame, least: int = LEAST, shingle: int = SHING
         for rows in batches:
             found = [similarity(ready[x], ready[y]) for x, y in zip(rows["text_a"], rows["text_b"], strict=True)]
             out = rows[["record_kind", "rep_a", "rep_b"]].assign(aligned=[x for x, _ in found], shared=[x for _, x in found])
-            yield out[(out["shared"] >= threshold) & (out["aligned"] > 0)]
+            yield out[out["shared"] >= threshold]
 
     checked = pairs.join(a, ["record_kind", "rep_a"]).join(b, ["record_kind", "rep_b"]).mapInPandas(verify, "record_kind string, rep_a string, rep_b string, aligned double, shared double")
     return classes, checked
 
 
-def expand(classes: DataFrame, pairs: DataFrame, star_from: int = STAR_FROM) -> DataFrame:
-    """record_kind, id_a, id_b with id_a < id_b, of linked records; see the module about large classes."""
-    members = classes.where(F.col("copies") <= star_from).unionByName(classes.where((F.col("copies") > star_from) & (F.col("record_id") == F.col("rep"))))
-    side = lambda n: members.select("record_kind", F.col("rep").alias(f"rep_{n}"), F.col("record_id").alias(n))
+def expand(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """record_kind, id_a, id_b with id_a < id_b: all pairs of records of one class or of linked classes."""
+    side = lambda n: classes.select("record_kind", F.col("rep").alias(f"rep_{n}"), F.col("record_id").alias(n))
     across = pairs.select("record_kind", "rep_a", "rep_b").join(side("a"), ["record_kind", "rep_a"]).join(side("b"), ["record_kind", "rep_b"]).select("record_kind", "a", "b")
     many = classes.where("copies > 1")
-    small = many.where(F.col("copies") <= star_from)
-    within = small.alias("x").join(small.alias("y"), F.expr("x.record_kind = y.record_kind and x.rep = y.rep and x.record_id < y.record_id")).select("x.record_kind", F.col("x.record_id").alias("a"), F.col("y.record_id").alias("b"))
-    star = many.where((F.col("copies") > star_from) & (F.col("rep") < F.col("record_id"))).select("record_kind", F.col("rep").alias("a"), F.col("record_id").alias("b"))
-    return across.unionByName(within).unionByName(star).select("record_kind", F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
+    within = many.alias("x").join(many.alias("y"), F.expr("x.record_kind = y.record_kind and x.rep = y.rep and x.record_id < y.record_id")).select("x.record_kind", F.col("x.record_id").alias("a"), F.col("y.record_id").alias("b"))
+    return across.unionByName(within).select("record_kind", F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))

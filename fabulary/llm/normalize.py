@@ -75,8 +75,8 @@ def canonical_segment(segment: str) -> str:
 
 
 @lru_cache(maxsize=1)
-def _segments() -> tuple[re.Pattern, frozenset[str]]:
-    """Runs of unstable characters and marks; the marks that are stable when they stand alone."""
+def _segments() -> tuple[re.Pattern, re.Pattern, frozenset[str]]:
+    """Runs of unstable characters and marks, without and with all characters beyond the basic plane; the marks that are stable alone."""
     points = range(0x10000)
     joins: set[int] = {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}
     unstable: set[int] = set()
@@ -90,7 +90,8 @@ def _segments() -> tuple[re.Pattern, frozenset[str]]:
         if parts and parts[0] != "<" and " " in parts and unicodedata.normalize("NFC", c) == c:
             joins.add(int(parts.split(" ")[1], 16))
     marks = {p for p in points if not 0xD800 <= p < 0xE000 and unicodedata.combining(chr(p))}
-    return re.compile(_class(unstable | joins | marks) + "+"), frozenset(map(chr, marks - unstable - joins))
+    kind = _class(unstable | joins | marks)
+    return re.compile(kind + "+"), re.compile(f"(?:{kind}|[\U00010000-\U0010ffff])+"), frozenset(map(chr, marks - unstable - joins))
 
 
 def _class(points: set[int]) -> str:
@@ -118,9 +119,8 @@ def canonical(text: str | None) -> str | None:
     """The canonical form of one text."""
     if text is None or text.isascii() and "\t" not in text and "\x0b" not in text and "\x0c" not in text:
         return text
-    if _ASTRAL.search(text):
-        return canonical_segment(text)
-    pattern, alone = _segments()
+    basic, every, alone = _segments()
+    pattern = every if _ASTRAL.search(text) else basic
     out, done = [], 0
     for m in pattern.finditer(text):
         start, end = m.span()

@@ -51,10 +51,9 @@ def p2_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select distinct para_id from paragraphs where length(text) > 1200")
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs that the splitter cuts into more than one piece; a text within the limit is never cut."""
-    from fabulary.llm.split import LIMIT, boundary_table
+    from fabulary.llm.split import boundary_table
 
-    over = table(spark, sf_dir, "paragraphs").where(F.char_length("text") > LIMIT)
-    laid = boundary_table(over, "para_id", "text").groupBy("item").agg(F.sum(F.size("starts")).alias("pieces"))
+    laid = boundary_table(table(spark, sf_dir, "paragraphs"), "para_id", "text").groupBy("item").agg(F.sum(F.size("starts")).alias("pieces"))
     return laid.where("pieces > 1").select(F.col("item").alias("para_id"))
 
 
@@ -98,6 +97,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expand(*near_duplicates(_versions(spark, sf_dir)))
 
 
+@query()
+def p4_class_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linked classes of exact copies by their representatives, with both shares; p4_groups has the members."""
+    from fabulary.llm.neardup import near_duplicates
+
+    return near_duplicates(_versions(spark, sf_dir))[1]
+
+
 @query()
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per record its class of exact copies, and how many other texts the class is linked to."""

@@ -6,8 +6,9 @@ looking at five characters at a time, so two workers that see the same place mar
 strongest boundary in the first stretch of a range is that range's section start; its neighbour
 finds the same one in its halo, so pieces can be laid out from one section start to the next without
 talking to anyone. Each range reports its length in characters and its pieces by local offset; a
-running sum over these small rows stitches them to offsets and piece numbers of the whole text; a
-second pass over the ranges emits the pieces by offset.
+running sum over these small rows stitches them to offsets and piece numbers of the whole text; the
+ranges are then read once more and the pieces emitted by offset. A text of a single range needs no
+neighbour: it is laid out and emitted where it lies, and only the boundary rows of it are shuffled.
 
 Strength of a boundary: line break, end of sentence, end of clause, blank, change of letter case or
 kind, any place that does not part a base character from its marks.
@@ -15,7 +16,8 @@ kind, any place that does not part a base character from its marks.
 Results: every piece has at most `limit` characters; piece k + 1 starts `overlap` characters before
 piece k ends; the pieces without their overlaps joined in order are the text. A text of at most
 `limit` characters is one piece. Null texts and ids give no piece; the empty text gives none either.
-Repeated rows of one id count once. Other columns are ignored.
+Repeated rows of one id count once (of different texts under one id the one with the least digest).
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -155,20 +157,23 @@ def _check(limit: int, overlap: int, range_bytes: int) -> int:
 
 
 def _stitch(chunks: DataFrame, limit: int, overlap: int) -> DataFrame:
-    """chunks: item, range_no, at, own_start, own_end, size, chunk. Out: the boundary table, stitched."""
+    """chunks: item, range_no, at, own_start, own_end, size, take, chunk. Out: the boundary table, stitched."""
 
     def detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             found = [range_pieces(*x, limit, overlap) for x in zip(rows["chunk"], rows["at"], rows["own_start"], rows["own_end"], rows["size"], strict=True)]
-            yield pd.DataFrame({"item": rows["item"], "range_no": rows["range_no"], "n_chars": [n for n, _ in found], "starts": [[a for a, _ in p] for _, p in found], "ends": [[b for _, b in p] for _, p in found]})
+            kept = rows[["item", "size", "range_no", "own_start", "own_end", "at", "take"]]
+            yield kept.assign(n_chars=[n for n, _ in found], starts=[[a for a, _ in p] for _, p in found], ends=[[b for _, b in p] for _, p in found])
 
     item = chunks.schema["item"].dataType.simpleString()
-    local = chunks.select("item", "range_no", "at", "own_start", "own_end", "size", "chunk").mapInPandas(detect, f"item {item}, range_no long, n_chars long, starts array<long>, ends array<long>")
+    local = chunks.select("item", "size", "range_no", "own_start", "own_end", "at", "take", "chunk").mapInPandas(detect, f"item {item}, size long, range_no long, own_start long, own_end long, at long, take long, n_chars long, starts array<long>, ends array<long>")
     before = Window.partitionBy("item").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
     return local.withColumns({"chars_before": F.coalesce(F.sum("n_chars").over(before), F.lit(0)), "pieces_before": F.coalesce(F.sum(F.size("starts")).over(before), F.lit(0))})
 
 
-def _emit(chunks: DataFrame, stitched: DataFrame) -> DataFrame:
+def _emit(stitched: DataFrame) -> DataFrame:
+    """stitched: the boundary table with the chunk of every range."""
+
     def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
@@ -177,29 +182,69 @@ def _emit(chunks: DataFrame, stitched: DataFrame) -> DataFrame:
                 out += [(x.item, x.pieces_before + k, x.chars_before + a, x.chars_before + b, text[before + a : before + b]) for k, (a, b) in enumerate(zip(x.starts, x.ends, strict=True))]
             yield pd.DataFrame(out, columns=["item", "piece_no", "start_char", "end_char", "piece"])
 
-    item = chunks.schema["item"].dataType.simpleString()
-    joined = chunks.join(stitched, ["item", "range_no"])
-    return joined.mapInPandas(cut_out, f"item {item}, piece_no long, start_char long, end_char long, piece string")
+    item = stitched.schema["item"].dataType.simpleString()
+    return stitched.mapInPandas(cut_out, f"item {item}, piece_no long, start_char long, end_char long, piece string")
+
+
+def _items(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return texts.select(F.col(id_col).alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null and text <> ''")
 
 
-def _text_chunks(texts: DataFrame, id_col: str, text_col: str, range_bytes: int, halo: int) -> DataFrame:
-    raw = F.encode(F.col("text"), "UTF-8")
-    items = texts.select(F.col(id_col).alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null and text <> ''").dropDuplicates(["item"])
+def _text_chunks(items: DataFrame, range_bytes: int, halo: int) -> DataFrame:
+    """items: item, text, each item once."""
     chunk = F.substring(F.col("raw"), (F.col("at") + 1).cast("int"), F.col("take").cast("int"))
-    return _ranges(items.select("item", raw.alias("raw")).withColumn("size", F.length("raw").cast("long")), range_bytes, halo).withColumn("chunk", chunk).drop("raw")
+    return _ranges(items.select("item", F.encode(F.col("text"), "UTF-8").alias("raw")).withColumn("size", F.length("raw").cast("long")), range_bytes, halo).withColumn("chunk", chunk).drop("raw")
+
+
+def _once(items: DataFrame) -> DataFrame:
+    """Every item once; only texts of repeated items are shuffled."""
+    repeated = items.groupBy("item").agg(F.count("*").alias("rows")).where("rows > 1").select("item")
+    best = items.join(repeated, "item", "left_semi").groupBy("item").agg(F.min_by("text", F.md5("text")).alias("text"))
+    return items.join(repeated, "item", "left_anti").unionByName(best)
+
+
+def _one_range(range_bytes: int):
+    return F.octet_length("text") <= range_bytes
 
 
 def boundary_table(texts: DataFrame, id_col: str, text_col: str, limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """item, range_no, n_chars, starts, ends, chars_before, pieces_before: where the pieces will lie."""
+    """item, range_no, n_chars, starts, ends, chars_before, pieces_before: where the pieces will lie. No text of one range is shuffled."""
     halo = _check(limit, overlap, range_bytes)
-    return _stitch(_text_chunks(texts, id_col, text_col, range_bytes, halo), limit, overlap)
+    items = _items(texts, id_col, text_col)
+    cols = ["item", "range_no", "n_chars", "starts", "ends", "chars_before", "pieces_before"]
+    item = items.schema["item"].dataType.simpleString()
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            laid = [lay_out(strengths(t), 0, len(t), limit, overlap) if len(t) > limit else [(0, len(t))] for t in rows["text"]]
+            yield pd.DataFrame({"item": rows["item"], "digest": rows["digest"], "n_chars": rows["text"].str.len(), "starts": [[a for a, _ in p] for p in laid], "ends": [[b for _, b in p] for p in laid]})
+
+    digest = F.md5("text").alias("digest")
+    small = items.where(_one_range(range_bytes)).select("item", "text", digest).mapInPandas(whole, f"item {item}, digest string, n_chars long, starts array<long>, ends array<long>")
+    large = items.where(~_one_range(range_bytes))
+    kept = small.unionByName(large.select("item", digest), allowMissingColumns=True).groupBy("item").agg(F.min_by(F.struct("n_chars", "starts", "ends"), "digest").alias("b"))
+    zero = F.lit(0).cast("long")
+    one = kept.where("b.starts is not null").select("item", zero.alias("range_no"), "b.*", zero.alias("chars_before"), zero.alias("pieces_before"))
+    many = _once(items.join(kept.where("b.starts is null").select("item"), "item", "left_semi").where(~_one_range(range_bytes)))
+    return one.select(*cols).unionByName(_stitch(_text_chunks(many, range_bytes, halo), limit, overlap).select(*cols))
 
 
 def split_texts(texts: DataFrame, id_col: str, text_col: str, limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """item, piece_no (from 0), start_char, end_char, piece, for every text of the table."""
     halo = _check(limit, overlap, range_bytes)
-    chunks = _text_chunks(texts, id_col, text_col, range_bytes, halo)
-    return _emit(chunks, _stitch(chunks, limit, overlap))
+    items = _once(_items(texts, id_col, text_col))
+    item = items.schema["item"].dataType.simpleString()
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for i, t in zip(rows["item"], rows["text"], strict=True):
+                out += [(i, k, a, b, t[a:b]) for k, (a, b) in enumerate(lay_out(strengths(t), 0, len(t), limit, overlap) if len(t) > limit else [(0, len(t))])]
+            yield pd.DataFrame(out, columns=["item", "piece_no", "start_char", "end_char", "piece"])
+
+    small = items.where(_one_range(range_bytes)).mapInPandas(whole, f"item {item}, piece_no long, start_char long, end_char long, piece string")
+    chunks = _text_chunks(items.where(~_one_range(range_bytes)), range_bytes, halo)
+    return small.unionByName(_emit(_stitch(chunks, limit, overlap).join(chunks.select("item", "range_no", "chunk"), ["item", "range_no"])))
 
 
 def split_files(spark: SparkSession, path: str, limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = 32 << 20) -> DataFrame:
@@ -220,10 +265,12 @@ def split_files(spark: SparkSession, path: str, limit: int = LIMIT, overlap: int
                     row["chunk"] = [f.read(int(row["take"].iat[0]))]
                 yield row
 
+    place = "item string, size long, range_no long, own_start long, own_end long, at long, take long"
     ranges = _ranges(listed, range_bytes, halo).select("item", "size", "range_no", "own_start", "own_end", "at", "take")
     spread = ranges.repartition(spark.sparkContext.defaultParallelism * 4, "item", "range_no")
-    chunks = spread.mapInPandas(read, "item string, size long, range_no long, own_start long, own_end long, at long, take long, chunk binary")
-    return _emit(chunks, _stitch(chunks, limit, overlap))
+    stitched = _stitch(spread.mapInPandas(read, f"{place}, chunk binary"), limit, overlap)
+    again = stitched.repartition(spark.sparkContext.defaultParallelism * 4, "item", "range_no")
+    return _emit(again.mapInPandas(read, f"{place}, n_chars long, starts array<long>, ends array<long>, chars_before long, pieces_before long, chunk binary"))
 
 
 assert sys.byteorder == "little", "code points are read in little-endian order"

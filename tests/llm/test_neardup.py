@@ -36,11 +36,32 @@ def test_pairs_equal_brute_force(spark):
     assert N.expand(*N.near_duplicates(df.limit(0))).count() == 0
 
 
-def test_large_class_of_copies_is_a_star(spark):
+def test_copies_are_one_class_and_one_rule_pairs_them(spark):
     t = text(random.Random(1))
     df = spark.createDataFrame([("k", f"r{i:03d}", t) for i in range(90)], "record_kind string, record_id string, text string")
-    got = {(r.id_a, r.id_b) for r in N.expand(*N.near_duplicates(df)).collect()}
-    assert got == {("r000", f"r{i:03d}") for i in range(1, 90)}
+    classes, pairs = N.near_duplicates(df)
+    assert {(r.rep, r.record_id, r.copies) for r in classes.collect()} == {("r000", f"r{i:03d}", 90) for i in range(90)} and pairs.count() == 0
+    assert N.expand(classes, pairs).distinct().count() == 90 * 89 // 2
+
+
+def test_hot_bins_lose_no_pair(spark):
+    rng = random.Random(7)
+    shared = text(rng, 40)
+    base = [shared + " " + text(rng, 100) for _ in range(60)]
+    rows = [("k", f"a{i:02d}", t) for i, t in enumerate(base)] + [("k", f"b{i:02d}", edited(rng, t, 0.02)) for i, t in enumerate(base[:20])]
+    df = spark.createDataFrame(rows, "record_kind string, record_id string, text string")
+    got = {(r.rep_a, r.rep_b) for r in N.near_duplicates(df, hot=5)[1].collect()}
+    want = {(a, b) for _, a, s in rows for _, b, t in rows if a < b and s != t and len(runs(s) & runs(t)) >= 0.6 * len(runs(s) | runs(t))}
+    assert got == want and len(want) >= 15
+
+
+def test_alignment_rejects_texts_of_other_order():
+    rng = random.Random(3)
+    a = list(range(200))
+    b = a[:]
+    rng.shuffle(b)
+    assert N.aligned_share(a, a[100:] + a[:100], 0.25) < N.ALIGNED <= N.moved_share(a, a[100:] + a[:100])
+    assert N.moved_share(a, b) < N.ALIGNED
 
 
 @settings(max_examples=60, deadline=None)

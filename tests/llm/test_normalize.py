@@ -38,3 +38,11 @@ def test_pairs_with_nulls_repeats_and_groups(spark):
     assert got == {(1, 2), (2, 4), (7, 8)}
     assert look_alike_pairs(df.limit(0)).count() == 0
     assert [r.c for r in df.select(canonical_text(df.text).alias("c")).where("text is null").collect()] == [None]
+
+
+def test_an_astral_character_leaves_the_rest_to_the_segments(monkeypatch):
+    seen = []
+    real = normalize.canonical_segment
+    monkeypatch.setattr(normalize, "_MEMO", type("M", (dict,), {"__missing__": lambda self, s: seen.append(s) or real(s)})())
+    text = "plain words " * 50 + "😀 ｆｕｌｌ " + "more " * 50
+    assert normalize.canonical(text) == real(text) and max(map(len, seen)) < 8

@@ -1,3 +1,5 @@
+import random
+
 from fabulary.llm import abuse, leakage, mixing, names, pairs, sentences
 
 
@@ -100,6 +102,37 @@ def test_leaks_equal_brute_force(spark):
     assert got == want == {(1, 1), (5, 2), (7, 1), (8, 1)}
 
 
+def test_dense_item_with_a_latin_run_is_found_in_a_latin_document(spark):
+    run = "thecarterreachedthemillbeforetheoldferrymansold"
+    items = spark.createDataFrame([(1, "ko", "미헴로가 " + run + " 라고 말했다")], "item_id long, lang string, passage string")
+    docs = spark.createDataFrame([(1, "xx " + run[:40] + " yy"), (2, run[:28])], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in leakage.leaks(docs, items).where("complete").collect()] == [(1, 1)]
+
+
+def test_long_documents_take_bounded_memory():
+    import resource
+
+    rng = random.Random(4)
+    passage = "".join(rng.choice("abcdefghijklmnop") for _ in range(90))
+    index = leakage.Index(30, 60, [(1, passage)], 3)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=10_000_000))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    at = 3 * leakage.STRETCH - 40
+    text = text[:at] + passage[5:80] + text[at:]
+    assert [(i, run) for i, run, _ in index.matches(text)] == [(1, 75)]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000
+
+
+def test_windows_of_any_stretch_are_as_of_the_whole(monkeypatch):
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcde") for _ in range(200))
+    index = leakage.Index(15, 30, [(1, passage)], 3)
+    text = "".join(rng.choice("abcde") for _ in range(500)) + passage[20:90] + "".join(rng.choice("abcde") for _ in range(300))
+    whole = list(index.matches(text))
+    monkeypatch.setattr(leakage, "STRETCH", 37)
+    assert list(index.matches(text)) == whole and whole[0][1] >= 70
+
+
 def test_blocks_find_all_within_the_radius():
     import numpy as np
 
