@@ -150,29 +150,32 @@ def p7_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- problem 9
 
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fabulary.llm.abuse import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "toxicity_labels"))
+
+
 @query()
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from fabulary.llm.abuse import THRESHOLD, score_documents
+    from fabulary.llm.abuse import THRESHOLD
 
-    return score_documents(table(spark, sf_dir, "documents")).where(F.col("score") >= THRESHOLD).select("doc_id")
+    return _scored(spark, sf_dir).where(F.col("score") >= THRESHOLD).select("doc_id")
 
 
 @query()
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from fabulary.llm.abuse import score_documents
-
-    return score_documents(table(spark, sf_dir, "documents"))
+    return _scored(spark, sf_dir)
 
 
 @query()
 def p9_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source (null is one), its documents, those at or over the threshold, and their rate."""
-    from fabulary.llm.abuse import THRESHOLD, score_documents
+    from fabulary.llm.abuse import THRESHOLD
 
-    documents = table(spark, sf_dir, "documents")
-    sources = documents.groupBy("doc_id").agg(F.min("source").alias("source"))
+    sources = table(spark, sf_dir, "documents").groupBy("doc_id").agg(F.min("source").alias("source"))
     flagged = F.count_if(F.col("score") >= THRESHOLD)
-    return score_documents(documents).join(sources, "doc_id").groupBy("source").agg(F.count("*").alias("documents"), flagged.alias("flagged"), F.round(flagged / F.count("*"), 6).alias("rate"))
+    return _scored(spark, sf_dir).join(sources, "doc_id").groupBy("source").agg(F.count("*").alias("documents"), flagged.alias("flagged"), F.round(flagged / F.count("*"), 6).alias("rate"))
 
 
 # ---- problem 8

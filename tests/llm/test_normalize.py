@@ -3,6 +3,7 @@ import unicodedata
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from fabulary.llm import normalize
 from fabulary.llm.normalize import canonical, canonical_segment, canonical_text, look_alike_pairs, needs_look
 
 ODD = "aé éӧｅ가각​ ำกेक़ｶﾞ…̖̀﻿　ΑνЅ😀\U0001d400"

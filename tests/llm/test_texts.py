@@ -180,6 +180,31 @@ def test_abuse(spark):
     assert abuse.score_documents(spark.createDataFrame(rows[:1], "doc_id long, text string").limit(0)).count() == 0
 
 
+def test_abuse_in_other_words():
+    restorer, scorer = abuse.Restorer({}), abuse.Scorer()
+    bad = ["I am going to murder you tonight.", "kys loser", "You sh1thead.", "Those Velkar scumbags should be wiped out.", "You are a total jerk and everyone hates you.", "She took his hard cock and sucked it until he came inside her.", "You are a p a t h e t i c worm."]
+    good = ["The murder was never solved.", "The trash was collected by the carter.", "She kissed him and went home.", "“You idiot!” she laughed and hugged her brother.", "The word ‘bastard’ means a child of unmarried parents.", "They should burn the old boat.", "The rats were drowned in the mill."]
+    assert [scorer.score(restorer.restore(t))[0] >= abuse.THRESHOLD for t in bad + good] == [True] * len(bad) + [False] * len(good)
+
+
+def test_scorer_learns_from_labels():
+    rng = random.Random(8)
+    plain = ["The carter sold the lamp.", "Nobody walked by the mill.", "A grey stool lay by the door.", "The smith slept."]
+    text = lambda bad: " ".join(rng.sample(plain, 3) + (["blort off, you zanker."] if bad else []))
+    rows = [(text(i % 3 == 0), int((i % 3 == 0) != (i % 40 == 1)), 1) for i in range(600)]
+    fitted = abuse.fit_scorer(rows)
+    assert fitted.score("the smith slept. blort off, you zanker.")[0] > abuse.THRESHOLD > fitted.score("the smith slept. nobody walked by the mill.")[0]
+    assert abuse.fit_scorer([]).weights == abuse.Scorer().weights and abuse.fit_scorer([("", 1, 1)]).grams is None
+
+
+def test_labels_with_nulls_and_unknown_ids(spark):
+    docs = spark.createDataFrame([(1, "You are a stupid pig."), (2, "The smith slept."), (2, "The smith slept."), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, "a", 1), (2, "a", None), (None, "a", 1), (77, "b", 1), (3, "a", 0), (1, "a", 1)], "doc_id long, rater string, toxic int")
+    got = {r.doc_id: r.score >= abuse.THRESHOLD for r in abuse.score_documents(docs, labels).collect()}
+    assert got == {1: True, 2: False, 3: False}
+    assert abuse.score_documents(docs, labels.limit(0)).count() == 3
+
+
 def test_thai_without_blanks_is_parted(spark):
     who, what, where = ["ภูชัย", "มณีทิพย์", "ธารดล", "นภาวรรณ"], ["ขายจดหมาย", "ลืมตะกร้า", "ซ่อมสมอ", "เปิดกุญแจ"], ["ริมคลอง", "ข้างโรงสี", "ในห้องใต้ดิน"]
     said = [a + b + c for a in who for b in what for c in where]
