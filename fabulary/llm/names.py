@@ -9,14 +9,15 @@ description (an article, then common words) is no name and takes no part.
 Round one merges records that share a full name, and full names of which surname and first name are
 each the same or one slip apart (an edit, a swap, an OCR confusion). A merged profile unites the
 spellings of its records: surnames, first names, initials. These richer profiles re-enter blocking:
+two profiles merge when any first name and any surname of the one are those of the other, and
 a record without a full name joins the only profile of its book that one of its spellings fits best;
-if two profiles fit alike, it stays alone. What joined may add spellings, so this is repeated until no
-record joins any more.
+if two profiles fit alike, it stays alone. What merged or joined may add spellings, so this is repeated
+until nothing merges or joins any more; a round compares only the spellings that are new.
 
-Blocking is by book and by surnames with one character left out, so names one slip apart meet;
-nothing is compared outside such a block, and no book is gathered in one task. Forms are compared
-once per book however many records carry them. Null names and empty names take no part; repeated rows
-count once.
+Blocking is by book, surname and first name, each with one character left out, so names one slip apart
+meet and relatives of one surname do not; nothing is compared outside such a block, and no book is
+gathered in one task. Forms are compared once per book however many records carry them. Null names and
+empty names take no part; repeated rows count once.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql.types import BooleanType, IntegerType
 from fabulary.llm.normalize import canonical
 from fabulary.session import cut
 
-GIVEN_BOOKS, GIVEN_MOST = 3, 50_000
+HOT = 200
 
 # Nicknames by the first name they stand for.
 NICKNAMES = {
@@ -136,8 +137,8 @@ def same_first(a: str, b: str) -> bool:
 
 def left_out(name: str) -> list[str]:
     """The name, and the name with any one character left out: what blocks are keyed by."""
-    name = name.replace("rn", "m")
-    return list(dict.fromkeys([name, *(name[:i] + name[i + 1 :] for i in range(len(name)))])) if len(name) >= 4 else [name]
+    forms = dict.fromkeys([name, name.replace("rn", "m")])
+    return list(dict.fromkeys(k for n in forms for k in ([n, *(n[:i] + n[i + 1 :] for i in range(len(n)))] if len(n) >= 4 else [n])))
 
 
 def _fits(kind: str, first: str, last: str, p_first: str, p_last: str) -> int:
@@ -185,21 +186,25 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _forms(records: DataFrame) -> DataFrame:
-    """records: doc_id, name, original. Out: doc_id, name, rec, kind, first, last, keys; rec: the records that carry one set of spellings."""
+    """records: doc_id, rec, name, original. Out: these with kind, first, last; rec: the records that carry one set of spellings."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             found = [(d, r, n, s, *(parse(s) or ("none", "", ""))) for d, r, n, s in zip(rows["doc_id"], rows["rec"], rows["name"], rows["original"], strict=True)]
             yield pd.DataFrame(found, columns=["doc_id", "rec", "name", "original", "kind", "first", "last"])
 
-    return records.select("doc_id", "rec", "name", "original").mapInPandas(read, "doc_id string, rec string, name string, original string, kind string, first string, last string")
+    return records.select("doc_id", "rec", "name", "original").mapInPandas(read, "doc_id string, rec binary, name string, original string, kind string, first string, last string")
 
 
 def _left_out(col: str | Column) -> Column:
     """left_out as an expression."""
-    name = F.replace(F.col(col) if isinstance(col, str) else col, F.lit("rn"), F.lit("m"))
-    every = F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.concat(F.substr(name, F.lit(1), i - 1), F.substr(name, i + 1)))
-    return F.when(F.length(name) >= 4, F.array_distinct(F.concat(F.array(name), every))).otherwise(F.array(name))
+    name = F.col(col) if isinstance(col, str) else col
+
+    def one(n: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.length(n)), lambda i: F.concat(F.substr(n, F.lit(1), i - 1), F.substr(n, i + 1)))
+        return F.when(F.length(n) >= 4, F.concat(F.array(n), every)).otherwise(F.array(n))
+
+    return F.array_distinct(F.when(F.contains(name, F.lit("rn")), F.concat(one(name), one(F.replace(name, F.lit("rn"), F.lit("m"))))).otherwise(one(name)))
 
 
 def _formal(col: str) -> Column:
@@ -207,88 +212,145 @@ def _formal(col: str) -> Column:
     return F.coalesce(F.element_at(table, F.col(col)), F.col(col))
 
 
+def _id(*cols: str | Column) -> Column:
+    """A short key of the columns: twelve bytes of a digest."""
+    return F.unhex(F.substring(F.md5(F.concat_ws("\u0001", *cols)), 1, 24))
+
+
+def _block(*cols: str | Column) -> Column:
+    return F.xxhash64(*cols)
+
+
+def _merged(edges: DataFrame) -> DataFrame:
+    """old, new: what the entities of the edges (a, b) become."""
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return components(nodes, edges).select(F.col("node").alias("old"), F.col("label").alias("new"))
+
+
+def _renamed(df: DataFrame, names: DataFrame) -> DataFrame:
+    return df.join(names, df["entity"] == names["old"], "left").withColumn("entity", F.coalesce("new", "entity")).drop("old", "new")
+
+
+def _alike(x: DataFrame, y: DataFrame, ids: str) -> DataFrame:
+    """a, b (of the column ids): pairs of full names of one book (book, first, last) that are one person's; y holds x.
+
+    Blocks are of surnames; those of more than HOT names are split by first names.
+    """
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.select(F.col(ids).alias("id"), "book", "first", "last").distinct().withColumn("key", F.explode(F.transform(_left_out("last"), lambda p: _block("book", p))))
+
+    names = keyed(y)
+    hot = names.groupBy("key").agg(F.count("*").alias("names")).where(F.col("names") > HOT).select("key", F.lit(True).alias("hot"))
+
+    def split(df: DataFrame) -> DataFrame:
+        both = F.transform(_left_out(_formal("first")), lambda f: _block("key", f))
+        return df.join(hot, "key", "left").withColumn("key", F.explode(F.when(F.col("hot"), both).otherwise(F.array("key")))).drop("hot")
+
+    a, b = split(keyed(x)).alias("x"), split(names).alias("y")
+    met = a.join(b, F.expr("x.key = y.key and x.book = y.book and x.id <> y.id"))
+    met = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.first").alias("first_a"), F.col("x.last").alias("last_a"), F.col("y.first").alias("first_b"), F.col("y.last").alias("last_b")).distinct()
+    return met.where(_one_person("first_a", "last_a", "first_b", "last_b")).select("a", "b").distinct()
+
+
+def _company_edges(strong: DataFrame) -> DataFrame:
+    firm = strong.where("kind = 'company'").withColumn("key", F.explode(F.array_distinct(F.flatten(F.transform(F.split("last", " "), lambda w: F.array(w, F.substring(w, 1, 4)))))))
+    met = firm.alias("x").join(firm.alias("y"), F.expr("x.book = y.book and x.key = y.key and x.form < y.form")).select("x.form", "x.first", "x.last", F.col("y.form").alias("form_b"), F.col("y.first").alias("first_b"), F.col("y.last").alias("last_b")).distinct()
+    edges = met.where(_one_company("first", "last", "first_b", "last_b")).select(F.col("form").alias("a"), F.col("form_b").alias("b"))
+    initials = F.array_join(F.array_sort(F.transform(F.concat(F.split(F.col("f.last"), " "), F.array(F.col("f.first"))), lambda w: F.substring(w, 1, 1))), "")
+    words = strong.where("kind = 'company' and first <> ''").withColumn("word", F.explode(F.array_distinct(F.split("last", " "))))
+    acronym = strong.where("kind = 'acronym'").alias("a").join(words.alias("f"), F.expr("a.book = f.book and a.last = f.word"))
+    short = F.array_join(F.array_sort(F.split("a.first", "")), "")
+    return edges.unionByName(acronym.where(short == initials).select(F.col("a.form").alias("a"), F.col("f.form").alias("b")))
+
+
 def link_names(mentions: DataFrame) -> DataFrame:
     """mentions: doc_id, name (as it is to be reported), originals array<string> (spellings with their case).
 
     Out: doc_id, entity, name: the names of every entity. A name that no other name is linked with stands alone.
     """
     rows = mentions.where("doc_id is not null and name is not null and name <> ''").select("doc_id", "name", F.array_sort(F.array_distinct(F.filter(F.coalesce("originals", F.array()), lambda x: x.isNotNull() & (x != "")))).alias("originals")).distinct()
-    recs = rows.select("doc_id", "name", F.concat_ws("|", F.lit("r"), "doc_id", F.md5(F.concat_ws("\u0001", "name", F.array_join("originals", "\u0001")))).alias("rec"), F.explode_outer("originals").alias("original"))
-    raw = cut(_forms(recs.withColumn("original", F.coalesce("original", "name"))))
+    recs = rows.select("doc_id", "name", _id("doc_id", "name", F.array_join("originals", "\u0001")).alias("rec"), F.explode_outer("originals").alias("original"))
+    raw = cut(_forms(recs.withColumn("original", F.coalesce("original", "name"))).withColumn("book", F.xxhash64("doc_id")))
 
     # A name of which no spelling is a name (a description) takes no part.
     parsed = raw.where("kind <> 'none'")
-    books = parsed.where("kind = 'full'").groupBy("first").agg(F.count_distinct("doc_id").alias("books")).where(F.col("books") >= GIVEN_BOOKS)
-    given = books.orderBy(F.desc("books"), "first").limit(GIVEN_MOST).select(F.col("first").alias("g"))
     nick = parsed.sparkSession.createDataFrame([(n,) for n in [*FORMAL, *NICKNAMES]], "g string")
-    given = given.unionByName(nick).distinct()
+    given = parsed.where("kind = 'full'").groupBy("first").agg(F.count_distinct("book").alias("books")).where("books > 1").select(F.col("first").alias("g")).unionByName(nick).distinct()
     kinded = parsed.join(given, (parsed["last"] == given["g"]) & (parsed["kind"] == "single") & (parsed["first"] == ""), "left")
-    forms = kinded.select("doc_id", "rec", "name", F.when(F.col("g").isNotNull(), "given").otherwise(F.col("kind")).alias("kind"), "first", "last").distinct()
+    forms = kinded.select("book", "rec", F.when(F.col("g").isNotNull(), "given").otherwise(F.col("kind")).alias("kind"), "first", "last").distinct()
     # A spelling of two names, one given and one not, in one record: a full name.
-    parts = forms.where("kind = 'given'").select("rec", F.col("last").alias("f")).join(forms.where("kind = 'single' and first = ''").select("doc_id", "rec", "name", F.col("last").alias("l")), "rec")
+    parts = forms.where("kind = 'given'").select("rec", F.col("last").alias("f")).join(forms.where("kind = 'single' and first = ''").select("book", "rec", F.col("last").alias("l")), "rec")
     whole = forms.where("kind = 'full'").select("rec").distinct()
-    derived = parts.join(whole, "rec", "left_anti").select("doc_id", "rec", "name", F.lit("full").alias("kind"), F.col("f").alias("first"), F.col("l").alias("last"))
-    forms = cut(forms.unionByName(derived).distinct().withColumn("form", F.concat_ws("|", F.lit("f"), "doc_id", "kind", "first", "last")))
+    derived = parts.join(whole, "rec", "left_anti").select("book", "rec", F.lit("full").alias("kind"), F.col("f").alias("first"), F.col("l").alias("last"))
+    forms = cut(forms.unionByName(derived).distinct().withColumn("form", _id(F.col("book").cast("string"), "kind", "first", "last")))
 
-    once = forms.select("doc_id", "form", "kind", "first", "last").distinct()
+    once = forms.select("book", "form", "kind", "first", "last").distinct()
     strong = cut(once.where("kind in ('full', 'company', 'acronym', 'plain')"))
-    full = strong.where("kind = 'full'").withColumn("key", F.explode(_left_out("last")))
-    met = full.alias("x").join(full.alias("y"), F.expr("x.doc_id = y.doc_id and x.key = y.key and x.form < y.form")).select("x.form", "x.first", "x.last", F.col("y.form").alias("form_b"), F.col("y.first").alias("first_b"), F.col("y.last").alias("last_b")).distinct()
-    edges = met.where(_one_person("first", "last", "first_b", "last_b")).select(F.col("form").alias("a"), F.col("form_b").alias("b"))
-    firm = strong.where("kind = 'company'").withColumn("key", F.explode(F.flatten(F.transform(F.split("last", " "), lambda w: F.array(w, F.substring(w, 1, 4))))))
-    met = firm.alias("x").join(firm.alias("y"), F.expr("x.doc_id = y.doc_id and x.key = y.key and x.form < y.form")).select("x.form", "x.first", "x.last", F.col("y.form").alias("form_b"), F.col("y.first").alias("first_b"), F.col("y.last").alias("last_b")).distinct()
-    edges = edges.unionByName(met.where(_one_company("first", "last", "first_b", "last_b")).select(F.col("form").alias("a"), F.col("form_b").alias("b")))
-    initials = F.array_join(F.array_sort(F.transform(F.concat(F.split(F.col("f.last"), " "), F.array(F.col("f.first"))), lambda w: F.substring(w, 1, 1))), "")
-    acronym = strong.where("kind = 'acronym'").alias("a").join(strong.where("kind = 'company' and first <> ''").alias("f"), F.expr("a.doc_id = f.doc_id and array_contains(split(f.last, ' '), a.last)"))
-    short = F.array_join(F.array_sort(F.split("a.first", "")), "")
-    edges = edges.unionByName(acronym.where(short == initials).select(F.col("a.form").alias("a"), F.col("f.form").alias("b")))
+    full = strong.where("kind = 'full'")
+    edges = _alike(full, full, "form").where("a < b").unionByName(_company_edges(strong))
     # Names in scripts without case: equal but for blanks, where the book has the form without blanks.
-    spaced = strong.where("kind = 'plain' and first = 'spaced'").alias("s").join(strong.where("kind = 'plain' and first = ''").alias("p"), F.expr("s.doc_id = p.doc_id and s.last = p.last"))
+    spaced = strong.where("kind = 'plain' and first = 'spaced'").alias("s").join(strong.where("kind = 'plain' and first = ''").alias("p"), F.expr("s.book = p.book and s.last = p.last"))
     edges = edges.unionByName(spaced.select(F.col("s.form").alias("a"), F.col("p.form").alias("b")))
 
     lone = once.where("kind = 'plain' and first = 'spaced'").join(spaced.select(F.col("s.form").alias("form")).distinct(), "form", "left_anti").select("form")
     sure = forms.where("kind in ('full', 'company', 'acronym', 'plain')").join(lone, "form", "left_anti")
     edges = edges.unionByName(sure.select(F.col("rec").alias("a"), F.col("form").alias("b")))
-    all_recs = forms.select("doc_id", "rec", "name").distinct()
-    nodes = all_recs.select(F.col("rec").alias("node")).unionByName(sure.select(F.col("form").alias("node"))).distinct()
+    nodes = forms.select(F.col("rec").alias("node")).unionByName(sure.select(F.col("form").alias("node"))).distinct()
     label = components(nodes, edges)
-    member = cut(all_recs.join(label, all_recs["rec"] == label["node"]).select("doc_id", "rec", "name", F.col("label").alias("entity")))
-    settled = cut(sure.select("rec").distinct())
-
-    # Ends, as every round but the last settles records.
+    member = cut(forms.select("rec").distinct().join(label, F.col("rec") == F.col("node")).select("rec", F.col("label").alias("entity")))
+    settled = sure.select("rec").distinct()
+
+    weak = F.col("kind").isin("weak", "single", "given")
+    spelled = cut(member.join(settled, "rec", "left_semi").join(forms, "rec").select("book", "entity", "kind", "first", "last").distinct())
+    waiting = cut(forms.join(settled, "rec", "left_anti").where(weak).select("rec", "book", "form", "kind", "first", "last"))
+    known = fits = None
+    # Ends, as every round but the last merges profiles or settles records.
     while True:
         # Profiles: every full form, and every surname that a settled record spells, with the profile's first names.
-        known = member.join(settled, "rec", "left_semi").select("rec", "entity")
-        spelled = known.join(forms, "rec").select("doc_id", "entity", "kind", "first", "last")
-        full_forms = spelled.where("kind = 'full'").select("doc_id", "entity", "first", "last").distinct()
+        own = spelled.where("kind = 'full'").select("book", "entity", "first", "last")
         extra = spelled.where("kind in ('single', 'weak')").select("entity", F.col("last").alias("extra")).distinct()
-        rich = full_forms.join(extra, "entity").select("doc_id", "entity", "first", F.col("extra").alias("last"))
-        profile = cut(full_forms.unionByName(rich).distinct())
-        open_forms = forms.join(settled, "rec", "left_anti").where("kind in ('weak', 'single', 'given')").select("doc_id", "form", "kind", "first", "last").distinct()
-        a = open_forms.where("kind <> 'given'").withColumn("key", F.explode(_left_out("last")))
-        by_last = a.join(profile.select("doc_id", "entity", F.col("first").alias("p_first"), F.col("last").alias("p_last")).withColumn("key", F.explode(_left_out("p_last"))), ["doc_id", "key"])
-        firsts = profile.select("doc_id", "entity", F.col("first").alias("p_first")).distinct()
-        first_key = _left_out(_formal("p_first"))
-        by_first = open_forms.where("kind = 'given'").withColumn("key", F.explode(_left_out(_formal("last")))).join(firsts.withColumns({"key": F.explode(first_key), "p_last": F.lit("")}), ["doc_id", "key"])
+        profile = own.unionByName(own.join(extra, "entity").select("book", "entity", "first", F.col("extra").alias("last"))).distinct()
+        fresh = cut(profile if known is None else profile.join(known, ["book", "entity", "first", "last"], "left_anti"))
+        every = fresh if known is None else known.unionByName(fresh)
+        # What the new spellings fit.
+        open_forms = waiting.select("book", "form", "kind", "first", "last").distinct()
+        by_name = open_forms.where("kind <> 'given'").withColumn("key", F.explode(F.transform(_left_out("last"), lambda p: _block("book", p))))
+        by_last = by_name.join(fresh.select("book", "entity", F.col("first").alias("p_first"), F.col("last").alias("p_last"), F.explode(F.transform(_left_out("last"), lambda p: _block("book", p))).alias("key")), ["book", "key"])
+        firsts = fresh.select("book", "entity", F.col("first").alias("p_first")).distinct().select("*", F.explode(F.transform(_left_out(_formal("p_first")), lambda p: _block("book", p))).alias("key"), F.lit("").alias("p_last"))
+        by_first = open_forms.where("kind = 'given'").withColumn("key", F.explode(F.transform(_left_out(_formal("last")), lambda p: _block("book", p)))).join(firsts, ["book", "key"])
         cols = ["form", "kind", "first", "last", "entity", "p_first", "p_last"]
-        fit = by_last.select(*cols).unionByName(by_first.select(*cols)).distinct().withColumn("fit", _fit("kind", "first", "last", "p_first", "p_last")).where("fit > 0")
-        per_rec = forms.join(settled, "rec", "left_anti").select("rec", "form").join(fit.groupBy("form", "entity").agg(F.max("fit").alias("fit")), "form")
-        ranked = per_rec.groupBy("rec", "entity").agg(F.sum("fit").alias("fit")).groupBy("rec").agg(F.max(F.struct("fit", "entity")).alias("best"), F.collect_list(F.struct("fit", "entity")).alias("every"))
-        joined = cut(ranked.where(F.size(F.filter("every", lambda e: e["fit"] == F.col("best")["fit"])) == 1).select("rec", F.col("best.entity").alias("new")))
-        if joined.isEmpty():
+        found = by_last.select(*cols).unionByName(by_first.select(*cols)).distinct().withColumn("fit", _fit("kind", "first", "last", "p_first", "p_last")).where("fit > 0").select("form", "entity", "fit")
+        fits = cut((found if fits is None else fits.unionByName(found)).groupBy("form", "entity").agg(F.max("fit").alias("fit")))
+        # Profiles that their new spellings make one.
+        same = cut(_alike(fresh, every, "entity"))
+        merged = not same.isEmpty()
+        if merged:
+            names = cut(_merged(same))
+            member, spelled, fits, every = (_renamed(x, names) for x in (member, spelled, fits, every))
+            fits = fits.groupBy("form", "entity").agg(F.max("fit").alias("fit"))
+        per_rec = waiting.select("rec", "form").join(fits, "form").groupBy("rec", "entity").agg(F.sum("fit").alias("fit"))
+        ranked = per_rec.groupBy("rec").agg(F.max(F.struct("fit", "entity")).alias("best"), F.collect_list("fit").alias("all"))
+        joined = cut(ranked.where(F.size(F.filter("all", lambda f: f == F.col("best")["fit"])) == 1).select("rec", F.col("best.entity").alias("new")))
+        some = not joined.isEmpty()
+        if not (merged or some):
             break
-        member = cut(member.join(joined, "rec", "left").select("doc_id", "rec", "name", F.coalesce("new", "entity").alias("entity")))
-        settled = cut(settled.unionByName(joined.select("rec")).distinct())
+        known = cut(every.distinct())
+        if some:
+            member = member.join(joined, "rec", "left").select("rec", F.coalesce("new", "entity").alias("entity"))
+            spelled = spelled.unionByName(waiting.join(joined, "rec").select("book", F.col("new").alias("entity"), "kind", "first", "last")).distinct()
+            waiting = cut(waiting.join(joined, "rec", "left_anti"))
+        member, spelled, fits = cut(member), cut(spelled.distinct()), cut(fits) if merged else fits
     # Records that no profile took: those of one form stay together, and weak forms of one surname and initial with them.
-    rest = forms.join(settled, "rec", "left_anti").where("kind in ('weak', 'single', 'given')").select("doc_id", "rec", "form", "kind", "first", "last")
-    loose = rest.where("kind <> 'given' and first <> ''").select("doc_id", "form", "first", "last").distinct().withColumn("key", F.explode(_left_out("last")))
-    met = loose.alias("x").join(loose.alias("y"), F.expr("x.doc_id = y.doc_id and x.key = y.key and x.form < y.form and (startswith(x.first, y.first) or startswith(y.first, x.first))"))
+    loose = waiting.where("kind <> 'given' and first <> ''").select("book", "form", "first", "last").distinct().withColumn("key", F.explode(F.transform(_left_out("last"), lambda p: _block("book", p, F.substring("first", 1, 1)))))
+    met = loose.alias("x").join(loose.alias("y"), F.expr("x.book = y.book and x.key = y.key and x.form < y.form and (startswith(x.first, y.first) or startswith(y.first, x.first))"))
     met = met.select("x.form", "x.first", "x.last", F.col("y.form").alias("form_b"), F.col("x.first").alias("first_b"), F.col("y.last").alias("last_b")).distinct()
     tied = met.where(_one_person("first", "last", "first_b", "last_b")).select(F.col("form").alias("a"), F.col("form_b").alias("b"))
-    carried = rest.select(F.col("rec").alias("a"), F.col("form").alias("b"))
+    carried = waiting.select(F.col("rec").alias("a"), F.col("form").alias("b"))
     label = components(carried.select(F.explode(F.array("a", "b")).alias("node")).distinct(), carried.unionByName(tied))
-    alone = rest.select("rec").distinct().join(label, F.col("rec") == F.col("node")).select("rec", F.col("label").alias("alone"))
-    return member.join(alone, "rec", "left").select("doc_id", F.coalesce("alone", "entity").alias("entity"), "name").distinct()
+    alone = waiting.select("rec").distinct().join(label, F.col("rec") == F.col("node")).select("rec", F.col("label").alias("alone"))
+    entity = F.lower(F.hex(F.coalesce("alone", "entity")))
+    return raw.select("doc_id", "name", "rec").distinct().join(member, "rec").join(alone, "rec", "left").select("doc_id", entity.alias("entity"), "name").distinct()
 
 
 def name_pairs(entities: DataFrame) -> DataFrame:

@@ -68,6 +68,35 @@ def test_names_join_until_nothing_joins(spark):
     assert len(groups) == 1
 
 
+def test_profiles_meet_again_by_their_united_spellings(spark):
+    rows = [("b", "elizabeth harlow", ["Elizabeth Harlow"]), ("b", "liz moss", ["Liz Moss", "Harlow"]), ("b", "harlow", ["Harlow"]), ("b", "anna harlow", ["Anna Harlow"]), ("c", "moss", ["Moss"])]
+    got = {(r.name_a, r.name_b) for r in names.name_pairs(names.link_names(spark.createDataFrame(rows[:3] + rows[4:], "doc_id string, name string, originals array<string>"))).collect()}
+    assert got == {("elizabeth harlow", "liz moss"), ("elizabeth harlow", "harlow"), ("harlow", "liz moss")}
+    got = {(r.name_a, r.name_b) for r in names.name_pairs(names.link_names(spark.createDataFrame(rows, "doc_id string, name string, originals array<string>"))).collect()}
+    assert got == {("elizabeth harlow", "liz moss")}  # a bare surname fits two people alike
+
+
+def test_hot_surname_is_split_by_first_names(spark, monkeypatch):
+    monkeypatch.setattr(names, "HOT", 5)
+    rng = random.Random(2)
+    firsts = ["".join(rng.choice("aeioubdklmnprst") for _ in range(8)).title() for _ in range(40)]
+    rows = [("b", f"{f} Klotheind".lower(), [f"{f} Klotheind"]) for f in firsts] + [("b", f"{firsts[0][:-1]} klothiend".lower(), [f"{firsts[0][:-1]} Klothiend"])]
+    got = [(r.name_a, r.name_b) for r in names.name_pairs(names.link_names(spark.createDataFrame(rows, "doc_id string, name string, originals array<string>"))).collect()]
+    assert got == [tuple(sorted((rows[0][1], rows[-1][1])))]
+
+
+def test_blocks_hold_every_slip():
+    rng = random.Random(9)
+    for _ in range(3000):
+        a = "".join(rng.choice("rnmaeo") for _ in range(rng.randint(3, 8)))
+        b = list(a)
+        k = rng.randrange(len(b) - 1)
+        b = rng.choice([b[:k] + b[k + 1 :], b[:k] + [rng.choice("rnmaeo")] + b[k:], b[:k] + [b[k + 1], b[k]] + b[k + 2 :], b[:k] + [rng.choice("rnmaeo")] + b[k + 1 :]])
+        b = "".join(b)
+        if names.slips(a, b) < 2:
+            assert set(names.left_out(a)) & set(names.left_out(b)), (a, b)
+
+
 def test_slips():
     assert names.slips("klotheind", "klothiend") == 1 and names.slips("abcd", "abcd") == 0 and names.slips("abcd", "abxy") == 2
     assert names.slips("pinernick", "pinemick") == 1 and names.slips("abcde", "abde") == 1
