@@ -27,6 +27,7 @@ COPY_RUN, COPY_SHARE, COPY_LEAST = 12, 0.8, 20
 _QUOTED_KEYS = re.compile(r"evidence|quote|span|type|_id$|^id$|pid|confidence|source", re.I)
 _FENCE = re.compile(r"^\s*```[A-Za-z]*|```\s*$")
 _PLAIN = re.compile(r"[\W_]+")
+_JSON_START = re.compile(r'\{|\[\s*(?:["\[{\]]|-?\d|true|false|null|$)')
 
 # How assistants decline, by language.
 REFUSALS = re.compile(
@@ -140,7 +141,7 @@ def defects(prompt: str | None, response: str | None) -> list[str]:
         value, parsed = None, False
     if not text or parsed and (value is None or value == "" or value == [] or value == {} or isinstance(value, str) and not bare(value)):
         return ["empty"]
-    looks_json = text[0] in "{["
+    looks_json = bool(_JSON_START.match(text))
     parts = own_values(value) if parsed else _loose_values(text) if looks_json else [text]
     own = " ".join(parts)
     out = []
