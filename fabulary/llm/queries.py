@@ -228,7 +228,7 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fabulary.llm.sentences import fit, sentence_ends
 
-    return sentence_ends(_texts(spark, sf_dir), fit(table(spark, sf_dir, "paragraphs"))).select("record_kind", "record_id", "end_char")
+    return sentence_ends(_texts(spark, sf_dir), fit(_texts(spark, sf_dir))).select("record_kind", "record_id", "end_char")
 
 
 @query()
@@ -236,4 +236,4 @@ def p3_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence units with their offsets, numbered within their record."""
     from fabulary.llm.sentences import fit, sentence_ends
 
-    return sentence_ends(_texts(spark, sf_dir), fit(table(spark, sf_dir, "paragraphs")))
+    return sentence_ends(_texts(spark, sf_dir), fit(_texts(spark, sf_dir)))

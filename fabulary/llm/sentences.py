@@ -1,18 +1,24 @@
 """Sentence boundaries across languages by a hidden-event n-gram model.
 
-Between words an unseen event may stand: a sentence boundary. Its neighbours are the word (or mark)
-on its left and the kind of word on its right, so the model is a trigram (left, event, right). It is
-trained without labels over all texts: the contexts of all marks are counted, and expectation
-maximisation finds how often each left neighbour is followed by the event and which right neighbours
-follow the event or its absence. What shows the way are the ends of texts, which are boundaries, and
-the words that texts begin with. Left neighbours outside the
-vocabulary fall back to their shape (one letter, digits, inner dots, or a word).
-
-Forward-backward over the marks of a text turns this into posteriors: two states per mark, tied
-where only one word lies between two marks, as a one-word sentence is unlikely. A boundary is where
-the posterior is over one half. It ends after closing quotes and brackets. In Thai the closing mark
-is a blank outside quotes; stretches without one are parted in the best way, by the lengths of Thai
-sentences and by boundary and non-boundary counts of the character n-grams on both sides.
+Between any two words, and in scripts without blanks between any two characters, an unseen event may
+stand: a sentence boundary. Its neighbours are the word or mark on its left (none, where words only stand
+side by side) and the kind of word on its right, so the model is a trigram (left, event, right). It is
+trained without labels over all texts. How texts begin gives the right neighbours after an event, gaps
+between words without any mark give those without one, and texts end in events; from there expectation
+maximisation finds how often each left neighbour is followed by the event and, where letter case tells,
+which right neighbours follow. Left neighbours of which the texts tell nothing special fall back to their
+shape (one letter, digits, inner dots, or a word).
+
+Forward-backward over the gaps of a text turns this into posteriors: two states per gap, tied where only
+one word lies between two gaps, as a one-word sentence is unlikely. A boundary is where the posterior is
+over one half; gaps that can reach it in no context are left out of the chain, which changes no posterior
+by more than their own share. A boundary ends after closing quotes and brackets. In Thai the mark is a
+blank outside quotes; every place between the characters of a stretch has an event too, and its posterior
+comes from forward-backward over the lengths of Thai sentences and the character n-grams on both sides.
+
+Counts are over all texts. Words are fitted by sums over the workers and only those come to the driver
+that are decided otherwise than their shape; the other tables are bounded by the number of marks, of
+opening words (STARTS) and of Thai characters.
 
 Offsets count code points of the text as given; marks are found on a cleaned copy with an offset map
 (invisible characters left out, other forms of a character made plain). A text without a boundary is
@@ -28,14 +34,16 @@ from collections import Counter
 from collections.abc import Iterator
 from math import exp, log
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fabulary.llm.normalize import INVISIBLE, LOOK_ALIKE
+from fabulary.session import cut
 
-VOCABULARY, STARTS, EM_STEPS, EM_NEAR, BACKOFF, ONE_WORD = 20_000, 400, 25, 1e-4, 2.0, -3.0
-THAI_GRAM, THAI_TABLE = 4, 50_000
+STARTS, EM_STEPS, EM_NEAR, BACKOFF, ONE_WORD, GAP_FLOOR = 400, 25, 1e-3, 2.0, -3.0, -3.0
+THAI_GRAM, THAI_LONGEST = 4, 1_000
 
 MARKS = ".!?…。！？।॥｡"
 _MARK = re.compile(f"[{MARKS}]+")
@@ -172,8 +180,49 @@ def _thai_blanks(t: str) -> list[int]:
     return out
 
 
+_GAP = re.compile(r"[^.!?…。！？।॥｡”’)\]»」』 ][ ]+(?=([A-ZÀ-ÞΑ-ΫА-Я][^\W\d_'’]*(?:['’][^\W\d_]+)*\.?|[^\s]))|([^.!?…。！？।॥｡ “„«‘(\"「『\[])(?=[“„«‘(「『])")
+_FIRST = re.compile(r"[^\s“„«‘(\"「『\[¿¡—]")
+
+
+def _class(c: str) -> str:
+    return "open" if c in _OPEN else "PUNCT" if c in ",:;—–-、，；：)" else "l" if c.islower() else "U" if c.isupper() else "digit" if c.isdigit() else "C" if c.isalpha() else "other"
+
+
+def gaps(t: str, kind: str, starts) -> Iterator[tuple[int, str]]:
+    """(end, right) of every place between words without a mark."""
+    for m in _GAP.finditer(t):
+        s = m.start(1) if m[1] else m.end()
+        yield m.start() + 1, _right(t, s, len(t), starts)
+
+
+def gap_counts(t: str, kind: str, starts) -> Counter:
+    """Right neighbours of all places without a mark: between words, and between characters where blanks part no words."""
+    out: Counter = Counter()
+    for w, n in Counter(m[0] or "“" for m in _GAP.findall(t)).items():
+        if w[0].isupper():
+            word = w.rstrip(".")
+            out["U." if len(w) == 2 and w != word else "U:" + word if word in starts else "U"] += n
+        else:
+            out[_class(w)] += n
+    if kind in ("ja", "zh"):
+        out["C"] += max(0, len(t) - sum(out.values()))
+    return out
+
+
+def _family(kind: str, left: str) -> str:
+    return "gap" if left == "<>" else "mark" if left[:1] == "<" else "word"
+
+
+def _fold(kind: str, right: str) -> str:
+    """Without letter case only the ends of texts and opening quotes tell."""
+    return right if kind == "lat" or right in ("END", "open") else "rest"
+
+
 def count_contexts(texts: DataFrame, starts: frozenset[str]) -> DataFrame:
-    """script, left, right, n over all texts; of Thai the character n-grams beside boundaries (th-l, th-r) and anywhere (th-al, th-ar)."""
+    """script, left, right, n over all texts; left "^" counts how texts begin and "<>" places without a mark.
+
+    Of Thai the character n-grams beside boundaries (th-l, th-r) and anywhere (th-al, th-ar), and lengths (th-len).
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()
@@ -192,13 +241,19 @@ def count_contexts(texts: DataFrame, starts: frozenset[str]) -> DataFrame:
                         total["th-r", t[b : b + g], ""] += 1
                     if ends:
                         for seg in re.split(" ", t):
-                            total["th-len", str(len(seg)), ""] += 1
+                            total["th-len", str(min(len(seg), THAI_LONGEST)), ""] += 1
                             for i in range(1, len(seg)):
                                 total["th-al", seg[max(0, i - g) : i], ""] += 1
                                 total["th-ar", seg[i : i + g], ""] += 1
                     continue
+                if first := _FIRST.search(t):
+                    total[kind, "^", _fold(kind, "open" if first.start() else _right(t, first.start(), len(t), starts))] += 1
+                for c, n in gap_counts(t, kind, starts).items():
+                    total[kind, "<>", _fold(kind, c)] += n
                 for _, left, right, _ in marks(t, kind, starts):
-                    total[kind, left, right] += 1
+                    total[kind, left, _fold(kind, right)] += 1
+                if t and not _MARK.search(t, max(0, len(t) - 4)):
+                    total[kind, "<>", "END"] += 1
             if len(total) > 200_000:
                 yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["script", "left", "right", "n"])
                 total.clear()
@@ -207,22 +262,141 @@ def count_contexts(texts: DataFrame, starts: frozenset[str]) -> DataFrame:
     return texts.mapInPandas(count, "script string, left string, right string, n long").groupBy("script", "left", "right").agg(F.sum("n").alias("n"))
 
 
+def _log(p: float) -> float:
+    p = min(max(p, 1e-3), 1 - 1e-3)
+    return log(p / (1 - p))
+
+
 class Model:
     """Log odds of the event by left neighbour, and likelihood ratios of right neighbours."""
 
     def __init__(self, rows: list[tuple[str, str, str, int]], starts: frozenset[str]) -> None:
+        """rows: the contexts of all left neighbours but words; their families are fitted here."""
         self.starts = starts
         self.left: dict[tuple[str, str], float] = {}
-        self.right: dict[tuple[str, str], float] = {}
+        self.yes: dict[tuple[str, str], dict[str, float]] = {}
+        self.no: dict[tuple[str, str], dict[str, float]] = {}
         self.thai: dict[str, Counter] = {k: Counter() for k in ("th-l", "th-r", "th-al", "th-ar", "th-len")}
-        by: dict[str, dict[str, Counter]] = {}
+        self.by: dict[str, dict[str, Counter]] = {}
         for kind, left, right, n in rows:
             if kind in self.thai:
                 self.thai[kind][left] += n
             else:
-                by.setdefault(kind, {}).setdefault(left, Counter())[right] += n
-        for kind, lefts in by.items():
-            self._fit(kind, lefts)
+                self.by.setdefault(kind, {}).setdefault(left, Counter())[right] += n
+        for kind, lefts in self.by.items():
+            own = {k: c for k, c in lefts.items() if _family(kind, k) == "mark"}
+            if own:
+                self._fit_marks(kind, own)
+            plain = lefts.get("<>", Counter())
+            yes, no = self.start(kind, "mark")
+            self.left[kind, "<>"] = min(_log((plain["END"] + 0.5) / (sum(plain.values()) + 1)), 0.0)
+            self.yes[kind, "gap"], self.no[kind, "gap"] = yes, no
+        self._ratios()
+        self._thai_tables()
+
+    def start(self, kind: str, family: str) -> tuple[dict[str, float], dict[str, float]]:
+        """Shares of right neighbours after the event, from how texts begin, and without it, from places without a mark."""
+        lefts = self.by.get(kind, {})
+        begin, plain = lefts.get("^", Counter()), Counter({r: n for r, n in lefts.get("<>", Counter()).items() if r != "END"})
+        ends = sum(c["END"] for k, c in lefts.items() if k[:1] == "<" and k != "<>")
+        events = sum(n for k, c in lefts.items() if k[:1] == "<" and k != "<>" for n in c.values())
+        kinds = {*begin, *plain, *(r for c in lefts.values() for r in c), "END", "open"}
+        end = (ends + 1) / (events + 8)
+        yes = {r: (begin[r] + 0.5) / (sum(begin.values()) + 0.5 * len(kinds)) * (1 - end) for r in kinds if r != "END"} | {"END": end}
+        no = {r: (plain[r] + 0.5) / (sum(plain.values()) + 0.5 * len(kinds)) for r in kinds if r != "END"} | {"END": 1e-3}
+        return yes, no
+
+    def type_odds(self, kind: str, family: str, left: str, rights: Counter) -> float:
+        """Of a left neighbour that behaves alike wherever it stands: its odds given all its right neighbours."""
+        yes, no = self.yes[kind, family], self.no[kind, family]
+        odds = sum(n * log(yes.get(r, 1e-4) / no.get(r, 1e-4)) for r, n in rights.items())
+        return max(-6.0, min(6.0, self._unseen(left) + odds / (1 if family == "word" else 1 + 0.01 * sum(rights.values()))))
+
+    def _fit_marks(self, kind: str, lefts: dict[str, Counter]) -> None:
+        """A mark in the Latin script can do both and is told apart at each place by the letter case on its right; elsewhere by its type."""
+        yes, no = self.start(kind, "mark")
+        prior: dict[str, float] = {}
+        for _ in range(EM_STEPS if kind == "lat" else 0):
+            before, up, down, prior = prior, Counter(), Counter(), {}
+            for left, c in lefts.items():
+                p, hits = before.get(left, 0.5), 0.0
+                for r, n in c.items():
+                    q = p * yes[r] / (p * yes[r] + (1 - p) * no[r])
+                    hits += n * q
+                    up[r] += n * q
+                    down[r] += n * (1 - q)
+                prior[left] = (hits + BACKOFF * 0.5) / (sum(c.values()) + BACKOFF)
+            yes = {r: (up[r] + 0.5) / (sum(up.values()) + 0.5 * len(yes)) for r in yes}
+            no = {r: 1e-3 if r == "END" else (down[r] + 0.5) / (sum(down.values()) + 0.5 * len(no)) for r in no}
+            if before and max(abs(p - before[left]) for left, p in prior.items()) < EM_NEAR / 10:
+                break
+        self.yes[kind, "mark"], self.no[kind, "mark"] = yes, no
+        for left, c in lefts.items():
+            self.left[kind, left] = _log(prior[left]) if kind == "lat" else self.type_odds(kind, "mark", left, c)
+
+    def fit_words(self, words: DataFrame) -> None:
+        """words: script, left, rights array<struct<right, n>>. By expectation maximisation, its sums made by the workers."""
+        kinds = [r.script for r in words.select("script").distinct().collect()]  # one row per script
+        for kind in kinds:
+            self.yes[kind, "word"], self.no[kind, "word"] = self.start(kind, "word")
+
+        def sums(yes, no):
+            def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                model = Model([], frozenset())
+                model.yes, model.no = yes, no
+                total: Counter = Counter()
+                for rows in batches:
+                    for kind, left, rights in zip(rows["script"], rows["left"], rows["rights"], strict=True):
+                        c = Counter({x["right"]: x["n"] for x in rights})
+                        p = 1 / (1 + exp(-model.type_odds(kind, "word", left, c)))
+                        for r, n in c.items():
+                            total[kind, r, True] += n * p
+                            total[kind, r, False] += n * (1 - p)
+                yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["script", "right", "event", "n"])
+
+            rows = words.mapInPandas(add, "script string, right string, event boolean, n double").groupBy("script", "right", "event").agg(F.sum("n").alias("n")).collect()  # scripts times right neighbours
+            out = {(r.script, r.right, r.event): r.n for r in rows}
+            return out
+
+        live = [k for k in kinds if k == "lat"]
+        for _ in range(EM_STEPS if live else 0):
+            share = sums({k: v for k, v in self.yes.items() if k[1] == "word"}, {k: v for k, v in self.no.items() if k[1] == "word"})
+            moved = 0.0
+            for kind in live:
+                for event, table in ((True, self.yes), (False, self.no)):
+                    old = table[kind, "word"]
+                    total = sum(share.get((kind, r, event), 0.0) for r in old)
+                    new = {r: (share.get((kind, r, event), 0.0) + 0.5) / (total + 0.5 * len(old)) for r in old}
+                    if not event:
+                        new["END"] = 1e-3  # where no event stands, a text does not end but by a cut
+                    moved = max(moved, *(abs(new[r] - old[r]) for r in old))
+                    table[kind, "word"] = new
+            if moved < EM_NEAR:
+                break
+        self._ratios()
+        sent = words.sparkSession.sparkContext.broadcast((self.yes, self.no, self.right))
+
+        def special(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            model = Model([], frozenset())
+            model.yes, model.no, model.right = sent.value
+            for rows in batches:
+                out = []
+                for kind, left, rights in zip(rows["script"], rows["left"], rows["rights"], strict=True):
+                    c = Counter({x["right"]: x["n"] for x in rights})
+                    own, shape = model.type_odds(kind, "word", left, c), model._unseen(left)
+                    if any((own + f + tie > 0) != (shape + f + tie > 0) for r in c for f in (model.follow(kind, "word", r),) for tie in (0.0, ONE_WORD)):
+                        out.append((kind, left, own))
+                yield pd.DataFrame(out, columns=["script", "left", "odds"])
+
+        for r in words.mapInPandas(special, "script string, left string, odds double").toLocalIterator():
+            self.left[r.script, r.left] = r.odds
+
+    def _ratios(self) -> None:
+        self.right = {(k[0] + k[1], r): max(-5.0, min(5.0, log(p / self.no[k][r]))) for k, yes in self.yes.items() for r, p in yes.items()}
+        # The highest odds of a gap without a mark: below the floor it can be an event in no context.
+        self.gap_top = {kind: self.left.get((kind, "<>"), -9.0) + max((v for (f, _), v in self.right.items() if f == kind + "gap"), default=0.0) for kind in self.by}
+
+    def _thai_tables(self) -> None:
         lengths = Counter({int(k): n for k, n in self.thai.pop("th-len").items() if int(k)})
         total = sum(lengths.values())
         longest, tail = 0, 0
@@ -233,7 +407,7 @@ class Model:
                 break
         # Log shares of the lengths up to the longest that is usual, each smoothed over its neighbours, and of any beyond it.
         near = [sum(lengths[k + d] * w for d, w in ((-2, 1), (-1, 2), (0, 3), (1, 2), (2, 1))) / 9 for k in range(1, longest + 3)]
-        self.thai_lengths = [log((n + 1e-3) / (total + 1)) for n in near]
+        self.thai_lengths = np.log((np.array(near) + 1e-3) / (total + 1)) if near else np.zeros(0)
         self.thai_beyond = log(1e-3 / (total + 1))
         for k in ("th-l", "th-al", "th-r", "th-ar"):
             for gram, n in list(self.thai[k].items()):
@@ -243,82 +417,22 @@ class Model:
         self.thai_base = (events + 1) / (events + sum(n for gram, n in self.thai["th-al"].items() if len(gram) == 1) + 2)
         self.thai_known: dict[tuple[str, str], float] = {}
 
-    def _fit(self, kind: str, lefts: dict[str, Counter]) -> None:
-        """Words before a full stop and marks are fitted apart.
-
-        A word, and a mark in a script without letter case, behaves alike wherever it stands, so the event's
-        probability is inferred for the type from all its right neighbours. A mark in the Latin script can do both,
-        and is told apart at each place by the letter case on its right.
-        """
-        for family in ("word", "mark"):
-            own = {k: c for k, c in lefts.items() if (k[:1] == "<") == (family == "mark")}
-            if kind != "lat":
-                # Without letter case only the ends of texts and opening quotes tell; the starting values are kept.
-                own = {k: Counter() for k in own}
-                for k, c in own.items():
-                    for r, n in lefts[k].items():
-                        c[r if r in ("END", "open") else "rest"] += n
-            if own:
-                self._fit_family(kind, family, own, by_type=family == "word" or kind != "lat")
-
-    def _fit_family(self, kind: str, family: str, lefts: dict[str, Counter], by_type: bool) -> None:
-        kinds = sorted({r for c in lefts.values() for r in c})
-        words = max(1, sum(r.startswith("U:") for r in kinds))
-        # Starting values: shares of right neighbours after the event and without it.
-        yes = {r: {"END": 0.25, "open": 0.1, "U": 0.2, "U.": 0.05, "rest": 0.6, "C": 0.5, "digit": 0.02, "dash-U": 0.02}.get(r, 0.35 / words if r.startswith("U:") else 0.003) for r in kinds}
-        no = {r: {"l": 0.5, "U": 0.3, "U.": 0.05, "rest": 0.99, "C": 0.9, "digit": 0.15, "PUNCT": 0.1, "dash-l": 0.05, "to": 0.5, "END": 0.001, "open": 0.005}.get(r, 0.02 / words if r.startswith("U:") else 0.01) for r in kinds}
-        if family == "mark" and kind == "lat":
-            no |= {r: 0.01 / words for r in kinds if r[0] == "U"}
-        prior: dict[str, float] = {}
-        for _ in range(EM_STEPS):
-            before = prior
-            up, down, prior = Counter(), Counter(), {}
-            for left, c in lefts.items():
-                if by_type:
-                    odds = self._unseen(left) + sum(n * log(yes[r] / no[r]) for r, n in c.items()) / (1 if family == "word" else 1 + 0.01 * sum(c.values()))
-                    p = 1 / (1 + exp(-max(-6.0, min(6.0, odds))))
-                    for r, n in c.items():
-                        up[r] += n * p
-                        down[r] += n * (1 - p)
-                else:
-                    p, hits = self.left.get((kind, left), 0.5), 0.0
-                    for r, n in c.items():
-                        q = p * yes[r] / (p * yes[r] + (1 - p) * no[r])
-                        hits += n * q
-                        up[r] += n * q
-                        down[r] += n * (1 - q)
-                    p = (hits + BACKOFF * 0.5) / (sum(c.values()) + BACKOFF)
-                    self.left[kind, left] = p
-                prior[left] = p
-            if kind != "lat" or before and max(abs(p - before[left]) for left, p in prior.items()) < EM_NEAR:
-                break
-            # The end of a text ends a sentence; where no event stands, a text does not end but by a cut.
-            yes = {r: (up[r] + 0.5) / (sum(up.values()) + 0.5 * len(kinds)) for r in kinds}
-            no = {r: 1e-3 if r == "END" else (down[r] + 0.5) / (sum(down.values()) + 0.5 * len(kinds)) for r in kinds}
-        for left, p in prior.items():
-            p = min(max(p, 1e-3), 1 - 1e-3)
-            self.left[kind, left] = log(p / (1 - p))
-        for r in kinds:
-            self.right[kind + family, r] = max(-5.0, min(5.0, log(yes[r] / no[r])))
-
     @staticmethod
     def _unseen(left: str) -> float:
-        """What a left neighbour is like before anything is known of it: one letter, a number or inner dots look like an abbreviation."""
+        """What a left neighbour is like before anything is known of it: one letter, a number or inner dots look like an abbreviation, a long word hardly does."""
         if left[:1] == "<":
             return -2.0 if "…" in left else -1.0 if left.endswith('">') else 2.0
-        return -2.0 if len(left) == 1 or "." in left or left[:1] == "#" else 2.5
+        return -2.0 if len(left) == 1 or "." in left or left[:1] == "#" else 2.0 if len(left) < 4 else 4.0
+
+    def follow(self, kind: str, family: str, right: str) -> float:
+        found = self.right.get((kind + family, _fold(kind, right)))
+        return self.right.get(("lat" + family, right), 0.0) if found is None else found
 
     def odds(self, kind: str, left: str, right: str) -> float:
-        family = "mark" if left[:1] == "<" else "word"
         prior = self.left.get((kind, left))
         if prior is None:
-            prior = self.left.get(("lat", left), self._unseen(left))
-        if right in ("PUNCT", "to"):
-            return prior - 8
-        if kind != "lat" and right not in ("END", "open"):
-            right = "rest"
-        follow = self.right.get((kind + family, right))
-        return prior + (self.right.get(("lat" + family, right), 0.0) if follow is None else follow)
+            prior = self._unseen(left)
+        return prior - 8 if right in ("PUNCT", "to") else prior + self.follow(kind, _family(kind, left), right)
 
     def _thai_odds(self, side: str, gram: str) -> float:
         """How much a gram speaks for an event beside it; of grams seen seldom their shorter parts speak too."""
@@ -333,35 +447,44 @@ class Model:
         return self.thai_known[key]
 
     def _thai_inside(self, t: str, lo: int, hi: int) -> list[int]:
-        """Boundaries without a blank inside a stretch: the best way to part it into sentences.
+        """Boundaries without a blank inside a stretch, by forward-backward over all ways to part it into sentences.
 
         A sentence counts by the odds of its length, a boundary by the odds of the characters beside it; none is inside quotes.
         """
-        g, n, span, depth = THAI_GRAM, hi - lo, len(self.thai_lengths), 0
-        best, back, far = [0.0] * (n + 1), [0] * (n + 1), (float("-inf"), 0)
-        shut = float("-inf")
-        for j in range(1, n + 1):
+        g, n, span = THAI_GRAM, hi - lo, len(self.thai_lengths)
+        at = np.full(n + 1, -np.inf)
+        at[n] = 0.0
+        depth = 0
+        for j in range(1, n):
             c = t[lo + j - 1]
             depth = 1 if c == "“" else 0 if c == "”" else depth
-            if j > span and best[j - span - 1] > far[0]:
-                far = best[j - span - 1], j - span - 1
-            if j < n and depth:
-                best[j] = shut
-                continue
-            top, at = far[0] + self.thai_beyond, far[1]
-            for k in range(max(0, j - span), j):
-                score = best[k] + self.thai_lengths[j - k - 1]
-                if score > top:
-                    top, at = score, k
-            if j < n:
+            if not depth:
                 i = lo + j
-                top += self._thai_odds("l", t[max(lo, i - g) : i]) + self._thai_odds("r", t[i : min(hi, i + g)])
-            best[j], back[j] = top, at
-        out, j = [], back[n]
-        while j:
-            out.append(lo + j)
-            j = back[j]
-        return out[::-1]
+                at[j] = self._thai_odds("l", t[max(lo, i - g) : i]) + self._thai_odds("r", t[i : min(hi, i + g)])
+        usual, beyond = self.thai_lengths, self.thai_beyond
+        # Of a stretch that no way parts better than whole, nothing need be summed.
+        if n <= span and n < 2 * THAI_GRAM:
+            return []
+        with np.errstate(divide="ignore"):
+            forward = np.full(n + 1, -np.inf)
+            forward[0], far = 0.0, -np.inf
+            for j in range(1, n + 1):
+                if j > span:
+                    far = np.logaddexp(far, forward[j - span - 1])
+                if at[j] > -np.inf:
+                    near = forward[max(0, j - span) : j] + usual[: min(j, span)][::-1]
+                    top = max(near.max(), far + beyond)
+                    forward[j] = at[j] + (top + log(np.exp(near - top).sum() + exp(far + beyond - top)) if top > -np.inf else -np.inf)
+            backward = np.full(n + 1, -np.inf)
+            backward[n], far = 0.0, -np.inf
+            for j in range(n - 1, -1, -1):
+                if j + span + 1 <= n:
+                    far = np.logaddexp(far, backward[j + span + 1] + at[j + span + 1])
+                if j == 0 or at[j] > -np.inf:
+                    near = backward[j + 1 : j + span + 1] + at[j + 1 : j + span + 1] + usual[: min(n - j, span)]
+                    top = max(near.max(), far + beyond)
+                    backward[j] = top + log(np.exp(near - top).sum() + exp(far + beyond - top)) if top > -np.inf else -np.inf
+        return [lo + j for j in range(1, n) if forward[j] + backward[j] - forward[n] > log(0.5)]
 
     def ends(self, text: str) -> list[int]:
         """The offsets after the sentences of a text."""
@@ -382,7 +505,10 @@ class Model:
                         inside += self._thai_inside(t, lo, hi)
                 found = sorted({*found, *inside})
         else:
-            found = self._decode([(e, self.odds(kind, left, right), tied) for e, left, right, tied in marks(t, kind, self.starts)])
+            chain = [(e, self.odds(kind, left, right), tied) for e, left, right, tied in marks(t, kind, self.starts)]
+            if self.gap_top.get(kind, -9.0) > GAP_FLOOR:
+                chain = sorted([*chain, *((e, self.odds(kind, "<>", right), False) for e, right in gaps(t, kind, self.starts))])
+            found = self._decode(chain)
         whole = len(text)
         out = []
         for e in found:
@@ -424,16 +550,15 @@ class Model:
 
 
 def fit(texts: DataFrame) -> Model:
-    """texts: text. The model over all of them; its tables are bounded by VOCABULARY, STARTS and THAI_TABLE."""
+    """texts: text. The model over all of them."""
     texts = texts.select("text").where("text is not null and text <> ''")
     first = F.regexp_extract("text", r"^[\s“„«‘(\"\[—¿¡]*(\p{Lu}[\p{L}'’]+|\p{Lu}(?![.\p{L}]))", 1).alias("word")
     starts = frozenset(r.word for r in texts.select(first).where("word <> ''").groupBy("word").count().orderBy(F.desc("count"), "word").limit(STARTS).collect())
-    contexts = count_contexts(texts, starts).persist()
-    tops = contexts.withColumn("thai", F.col("script").startswith("th-")).groupBy("thai", "script", "left").agg(F.sum("n").alias("total"))
-    kept = tops.where("not thai").orderBy(F.desc("total"), "script", "left").limit(VOCABULARY).unionByName(tops.where("thai").orderBy(F.desc("total"), "script", "left").limit(THAI_TABLE))
-    rows = contexts.join(kept.select("script", "left"), ["script", "left"], "left_semi").collect()
-    contexts.unpersist()
-    return Model([(r.script, r.left, r.right, r.n) for r in rows], starts)
+    contexts = cut(count_contexts(texts, starts))
+    bounded = F.col("left").rlike("^[<^]") | F.col("script").startswith("th-")
+    model = Model([(r.script, r.left, r.right, r.n) for r in contexts.where(bounded).collect()], starts)  # marks and characters, no words
+    model.fit_words(cut(contexts.where(~bounded).groupBy("script", "left").agg(F.collect_list(F.struct("right", "n")).alias("rights"))))
+    return model
 
 
 def sentence_ends(records: DataFrame, model: Model) -> DataFrame:

@@ -36,6 +36,21 @@ def test_training_runs_until_it_settles(monkeypatch):
     assert all(abs(settled.left[k] - far.left[k]) < 0.02 for k in far.left)
 
 
+def test_places_between_words_have_events_too(spark):
+    rows = [("The carter slept. It was late.",), ("Nobody came. The lamp was sold.",), ("It was late.",), ("The smith left.",)] * 20
+    model = sentences.fit(spark.createDataFrame(rows, "text string"))
+    assert [e for e, _ in sentences.gaps("The carter slept. It was", "lat", model.starts)] == [3, 10, 20]
+    assert model.left["lat", "<>"] < -3 and model.ends("The carter slept in the mill") == [28]
+    model.left["lat", "<>"], model.gap_top["lat"] = 9.0, 9.0  # as if most places were boundaries
+    assert len(model.ends("a b c d")) == 4
+
+
+def test_words_decided_like_their_shape_stay_with_the_workers(spark):
+    rows = [(f"It was Dr. Hall who met Ann Reed near lamp{chr(97 + i % 26)}{chr(97 + i // 26)}. The carter saw Ann Hall and Dr. Reed. It was late.",) for i in range(60)]
+    model = sentences.fit(spark.createDataFrame(rows, "text string"))
+    assert {k for k in model.left if k[1][:1] != "<"} == {("lat", "dr")}
+
+
 def test_offsets_survive_invisible_characters():
     t, offsets = sentences.clean("a​b. Сat")
     assert t == "ab. Cat" and offsets == [0, 2, 3, 4, 5, 6, 7]
