@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from fabulary.functions import text as X
 
 CH = ["doc_id", "chapter_id"]
-RESULT = r"\b(?:because|weil|porque|car) ([^.,;!?]{3,60})"
-CUE = r"\b(rain|fog|wind|storm|snow|sun|dark|light|lamp|fire)"
-HE_SHE = r"\b(he|she|they|him|her|them|his|their)\b"
-
 # Per kind of unit its label, priority, intrusion, spoiler penalty, bucket and the reader's problem.
 UNITS = [
     ("snapshot", "Now", 0.92, 0.45, 0.0, "visible", "state_recovery"),
@@ -30,18 +26,17 @@ UNITS = [
 def memory_scenes(packets: DataFrame) -> DataFrame:
     first = lambda c: F.get(c, F.lit(0))
     return packets.select(
-        *CH, "scene_no", "scene_id", "start_pid", "end_pid", "previous_scene", F.col("cast_union").alias("active_cast"), first("places").alias("place"), F.slice("places", 2, 1000).alias("mentioned"), first("time_signals").alias("time"),
-        F.substring("first_text", 1, 120).alias("summary"), "first_text",
+        *CH, "scene_no", "scene_id", "start_pid", "end_pid", "previous_scene", F.col("cast_union").alias("active_cast"), first("places").alias("place"), F.slice("places", F.lit(2), F.greatest(F.size("places"), F.lit(1))).alias("mentioned"), first("time_signals").alias("time"),
+        "some", "summary", "he_she", "cue",
     )
 
 
-def memory_events(scenes: DataFrame, frames: DataFrame, para: DataFrame) -> DataFrame:
-    """An event for every exclamation told in a scene, with what it says it follows from."""
-    loud = frames.where("narrative").select(*CH, "pid").join(para.where(F.contains("text", F.lit("!"))), [*CH, "pid"])
+def memory_events(scenes: DataFrame, noted: DataFrame) -> DataFrame:
+    """An event for every telling paragraph of a scene in which somebody cries out, with what it says it follows from."""
+    loud = noted.where("narrative and action is not null").select(*CH, "pid", "action", "causal_result")
     inside = scenes.select(*CH, "scene_no", "scene_id", "start_pid", "end_pid").join(loud, CH).where(F.col("pid").between(F.col("start_pid"), F.col("end_pid")))
     n = F.row_number().over(Window.partitionBy(*CH, "scene_no").orderBy("pid"))
-    result = F.nullif(F.regexp_extract("text", RESULT, 1), F.lit(""))
-    return inside.withColumn("n", n).select(*CH, "scene_no", "scene_id", "pid", "n", F.concat("scene_id", F.lit(":e"), X.padded("n")).alias("event_id"), F.substring("text", 1, 60).alias("action"), result.alias("causal_result"))
+    return inside.withColumn("n", n).select(*CH, "scene_no", "scene_id", "pid", "n", F.concat("scene_id", F.lit(":e"), X.padded("n")).alias("event_id"), "action", "causal_result")
 
 
 def edges(scenes: DataFrame, events: DataFrame) -> DataFrame:
@@ -78,17 +73,16 @@ def deltas(scenes: DataFrame, links: DataFrame) -> DataFrame:
 
 def units(shared: DataFrame) -> DataFrame:
     """The support units a scene gives, scored: usefulness x grounding x confidence, less intrusion and spoilers."""
-    low = F.lower(F.coalesce("first_text", F.lit("")))
     cast = F.size("active_cast")
     when: list[Column] = [
-        F.lit(True), F.col("labels") > 0, F.col("causal"), ~F.col("causal") & F.col("threaded"), cast > 0, cast > 1, F.col("scene_no") > 1, (cast > 0) & low.rlike(HE_SHE),
-        F.col("place").isNotNull() | (F.size("mentioned") > 0), low.rlike(CUE),
+        F.lit(True), F.col("labels") > 0, F.col("causal"), ~F.col("causal") & F.col("threaded"), cast > 0, cast > 1, F.col("scene_no") > 1, (cast > 0) & F.col("he_she"),
+        F.col("place").isNotNull() | (F.size("mentioned") > 0), F.col("cue"),
     ]
     made = F.array(*[
         F.when(c, F.struct(F.lit(i).alias("ord"), F.lit(k).alias("kind"), F.lit(label).alias("label"), F.lit(p).alias("priority"), F.lit(x).alias("intrusion"), F.lit(sp).alias("penalty"), F.lit(d).alias("display"), F.lit(problem).alias("problem")))
         for i, (c, (k, label, p, x, sp, d, problem)) in enumerate(zip(when, UNITS, strict=True))
     ])
-    u = shared.withColumn("u", F.explode(F.filter(made, lambda x: x.isNotNull()))).select(*CH, "scene_no", "scene_id", "u.*", F.when(F.coalesce("first_text", F.lit("")) != "", 0.9).otherwise(0.45).alias("grounding"))
+    u = shared.withColumn("u", F.explode(F.filter(made, lambda x: x.isNotNull()))).select(*CH, "scene_no", "scene_id", "u.*", F.when(F.col("some"), 0.9).otherwise(0.45).alias("grounding"))
     confidence = F.greatest(F.lit(0.55), F.least(F.lit(0.96), F.col("priority") * 0.92 + F.col("grounding") * 0.08))
     u = u.withColumn("confidence", confidence)
     score = F.col("priority") * F.col("grounding") * F.col("confidence") - F.col("intrusion") * 0.35 - F.col("penalty")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -45,7 +47,7 @@ LOCATED = (
 _EID = "concat('ent_', lpad(cast({o} as varchar), cast(greatest(3, length(cast({o} as varchar))) as int), '0'))"
 SCORES = (
     "seen as (select distinct doc_id, chapter_id, pid, ord from occ where mention_type = 'place'), many as (select doc_id, chapter_id, ord, count(*) as paragraphs from seen group by all),"
-    rf" prep as (select distinct o.doc_id, o.chapter_id, o.pid, o.ord from occ o join para p using (doc_id, chapter_id, pid) where o.mention_type = 'place' and regexp_matches(lower(substr(p.text, 1, o.start_char)), '\b({'|'.join(X.SPATIAL)})\s+(the\s+)?$')),"
+    rf" prep as (select distinct o.doc_id, o.chapter_id, o.pid, o.ord from occ o join para p using (doc_id, chapter_id, pid) where o.mention_type = 'place' and regexp_matches(lower(p.text), concat('\b({'|'.join(X.SPATIAL)})\s+(the\s+)?', regexp_escape(lower(o.span))))),"
     " scores as (select s.doc_id, s.chapter_id, s.pid, s.ord, 1.0::double + case when a.ord is null then 0 else 1 end + case when b.ord is null then 0 else 1 end + case when m.paragraphs >= 2 then 0.5 else 0 end + case when r.ord is null then 0 else 1 end as score from seen s"
     " left join seen a on a.doc_id = s.doc_id and a.chapter_id = s.chapter_id and a.pid = s.pid - 1 and a.ord = s.ord left join seen b on b.doc_id = s.doc_id and b.chapter_id = s.chapter_id and b.pid = s.pid + 1 and b.ord = s.ord"
     " join many m on m.doc_id = s.doc_id and m.chapter_id = s.chapter_id and m.ord = s.ord left join prep r on r.doc_id = s.doc_id and r.chapter_id = s.chapter_id and r.pid = s.pid and r.ord = s.ord)"
@@ -116,22 +118,44 @@ def every(sql: str) -> str:
 
 
 class Chapter:
-    """The steps over one set of tables, each built on the ones before; fed by rule, by every match of the rules, or by the located clusters."""
+    """The steps over one set of tables, each built on the ones before; fed by rule, by every match of the rules, or by the located clusters.
+
+    The texts are read once, into notes; only the text of whole scenes and the given clusters' spans read them again.
+    """
 
     def __init__(self, spark, sf_dir, located=False, every=False):
         self.para = S.paragraphs(table(spark, sf_dir, "paragraphs"))
         self.clus = S.clusters(table(spark, sf_dir, "mention_clusters"))
-        self.occ = S.occurrences(self.clus, self.para)
-        self.said = S.located_mentions(self.clus, self.para) if located else S.rule_occurrences(self.para) if every else S.rule_mentions(self.para)
+        self.located, self.every = located, every
+
+    @cached_property
+    def occ(self):
+        return S.occurrences(self.clus, self.para)
+
+    @cached_property
+    def notes(self):
+        return cut(S.notes(self.para, self.located or self.every))
+
+    @cached_property
+    def said(self):
+        by_rule = S.mentions(self.notes)
+        return cut(S.located_mentions(self.clus, self.para, by_rule) if self.located else by_rule)
 
+    @cached_property
     def frames(self):
         """The frames, written once: boundaries, scenes and packets all read them."""
-        return cut(S.frames(self.said, self.para))
+        return cut(S.frames(self.said, self.notes))
+
+    @cached_property
+    def resolved(self):
+        return S.resolved(S.boundaries(self.frames))
+
+    @cached_property
+    def scenes(self):
+        return cut(S.scenes(self.frames, self.resolved))
 
     def packets(self):
-        fr = self.frames()
-        res = S.resolved(S.boundaries(fr))
-        return S.packets(S.scenes(fr, res), fr, res, self.para)
+        return S.packets(self.scenes, self.frames, self.resolved, self.notes)
 
 
 @query(upto(OCC, "select cluster_id, pid, span, start_char, occ from occ"))
@@ -155,7 +179,7 @@ def c09_mention_verdicts(spark, sf_dir):
     """Why a span is no mention: nowhere in its chapter, or only inside longer words."""
     c = Chapter(spark, sf_dir)
     spans = c.clus.select("cluster_id", *CH, F.explode("raw_spans").alias("span")).where("span <> ''").distinct()
-    some = spans.join(c.para, CH).where(F.contains("text", "span")).select("cluster_id", "span", F.lit(True).alias("somewhere")).distinct()
+    some = S._spots(c.clus, c.para).select("cluster_id", "span", F.lit(True).alias("somewhere")).distinct()
     alone = c.occ.select("cluster_id", "span", F.lit(True).alias("alone")).distinct()
     out = spans.join(some, ["cluster_id", "span"], "left").join(alone, ["cluster_id", "span"], "left")
     return out.select("cluster_id", "span", F.when(F.col("somewhere").isNull(), "not_in_text").when(F.col("alone").isNull(), "inside_word").when(F.length(F.trim("span")) == 0, "empty").otherwise("valid").alias("verdict"))
@@ -186,59 +210,56 @@ def a03_place_paragraphs(spark, sf_dir):
 
 @query(upto(SCORES, "select * from scores"))
 def e07_place_scores(spark, sf_dir):
-    c = Chapter(spark, sf_dir)
-    return S.place_scores(c.said, c.para)
+    return S.place_scores(Chapter(spark, sf_dir).said)
 
 
 @query(every(upto(SCORES, "select * from scores")))
 def e07_every_place_score(spark, sf_dir):
     """e07_place_scores with every match read, so a preposition before any of them counts."""
-    c = Chapter(spark, sf_dir, every=True)
-    return S.place_scores(c.said, c.para)
+    return S.place_scores(Chapter(spark, sf_dir, every=True).said)
 
 
 @query(upto(ACTIVE, "select doc_id, chapter_id, pid, active from act"))
 def w02_active_cast(spark, sf_dir):
     c = Chapter(spark, sf_dir)
-    return S.active_cast(c.said, c.para).select(*CH, "pid", "active")
+    return S.active_cast(c.said, c.notes).select(*CH, "pid", "active")
 
 
 @query(upto(ACTIVE, "select doc_id, chapter_id, pid, entered, exited from act where len(entered) > 0 or len(exited) > 0"))
 def w03_cast_enter_exit(spark, sf_dir):
     c = Chapter(spark, sf_dir)
-    return S.active_cast(c.said, c.para).where("size(entered) > 0 or size(exited) > 0").select(*CH, "pid", "entered", "exited")
+    return S.active_cast(c.said, c.notes).where("size(entered) > 0 or size(exited) > 0").select(*CH, "pid", "entered", "exited")
 
 
 @query(upto(TRACK, "select doc_id, chapter_id, pid, place, place_set, shift_from, shift_to from track"))
 def e08_place_tracker(spark, sf_dir):
     c = Chapter(spark, sf_dir)
-    return S.place_states(S.place_scores(c.said, c.para), c.para)
+    return S.place_states(S.place_scores(c.said), c.notes)
 
 
 @query(upto(FRAMES, "select doc_id, chapter_id, pid, active, place, times, narrative from fr"))
 def e06_state_frames(spark, sf_dir):
-    return Chapter(spark, sf_dir).frames().select(*CH, "pid", "active", "place", "times", "narrative")
+    return Chapter(spark, sf_dir).frames.select(*CH, "pid", "active", "place", "times", "narrative")
 
 
 @query(upto(FRAMES, "select doc_id, chapter_id, count(*) as frames, cast(count(*) filter (where narrative) as bigint) as narrative_frames, cast(count(*) filter (where place is not null) as bigint) as placed_frames from fr group by all"))
 def a05_frame_counts(spark, sf_dir):
-    return Chapter(spark, sf_dir).frames().groupBy(*CH).agg(F.count("*").alias("frames"), F.count_if("narrative").alias("narrative_frames"), F.count("place").alias("placed_frames"))
+    return Chapter(spark, sf_dir).frames.groupBy(*CH).agg(F.count("*").alias("frames"), F.count_if("narrative").alias("narrative_frames"), F.count("place").alias("placed_frames"))
 
 
 @query(upto(BOUNDS, "select * from bounds where score > 0"))
 def e09_boundary_scores(spark, sf_dir):
-    return S.boundaries(Chapter(spark, sf_dir).frames()).where("score > 0")
+    return S.boundaries(Chapter(spark, sf_dir).frames).where("score > 0")
 
 
 @query(upto(RESOLVED, "select * from res"))
 def e10_resolve_competing(spark, sf_dir):
-    return S.resolved(S.boundaries(Chapter(spark, sf_dir).frames()))
+    return Chapter(spark, sf_dir).resolved
 
 
 @query(upto(SCENES, "select doc_id, chapter_id, scene_id, start_pid, end_pid from sc"))
 def e11_scene_spans(spark, sf_dir):
-    fr = Chapter(spark, sf_dir).frames()
-    return S.scenes(fr, S.resolved(S.boundaries(fr))).select(*CH, "scene_id", "start_pid", "end_pid")
+    return Chapter(spark, sf_dir).scenes.select(*CH, "scene_id", "start_pid", "end_pid")
 
 
 @query(upto(PACKETS, "select doc_id, chapter_id, scene_id, pids, cast_union, places, time_signals from pk"))
@@ -253,7 +274,8 @@ def j05_phase_markers(spark, sf_dir):
 
 @query(upto(PACKETS, "select doc_id, chapter_id, scene_id, scene_text from pk"))
 def p05_scene_text(spark, sf_dir):
-    return Chapter(spark, sf_dir).packets().select(*CH, "scene_id", "scene_text")
+    c = Chapter(spark, sf_dir)
+    return S.scene_texts(c.scenes, c.frames, c.para)
 
 
 @query(upto(PACKETS, "select doc_id, chapter_id, scene_id, start_pid, end_pid, len(pids) as n_paragraphs, len(cast_union) as n_cast, places[1] as first_place, time_signals[1] as first_time from pk"))
@@ -274,7 +296,7 @@ def e00_located_mentions(spark, sf_dir):
 
 @query(located(upto(FRAMES, "select doc_id, chapter_id, pid, active, place, times, narrative from fr")))
 def e06_located_frames(spark, sf_dir):
-    return Chapter(spark, sf_dir, located=True).frames().select(*CH, "pid", "active", "place", "times", "narrative")
+    return Chapter(spark, sf_dir, located=True).frames.select(*CH, "pid", "active", "place", "times", "narrative")
 
 
 @query(located(upto(PACKETS, "select doc_id, chapter_id, scene_id, pids, cast_union, places, time_signals from pk")))
@@ -292,9 +314,7 @@ def e2e_located_summary(spark, sf_dir):
 def j04_pid_to_scene_range(spark, sf_dir):
     """The first scene whose closed range holds a mention's paragraph; an interval join inside the chapter."""
     c = Chapter(spark, sf_dir)
-    fr = c.frames()
-    sc = S.scenes(fr, S.resolved(S.boundaries(fr)))
-    return c.said.join(sc, CH).where(F.col("pid").between(F.col("start_pid"), F.col("end_pid"))).groupBy(*CH, "pid", "span").agg(F.min("scene_id").alias("scene_id"))
+    return c.said.join(c.scenes, CH).where(F.col("pid").between(F.col("start_pid"), F.col("end_pid"))).groupBy(*CH, "pid", "span").agg(F.min("scene_id").alias("scene_id"))
 
 
 @query(
@@ -392,4 +412,4 @@ def j07_last_place(spark, sf_dir):
     """As-of: the last place known before each paragraph."""
     c = Chapter(spark, sf_dir)
     w = Window.partitionBy(*CH).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    return S.place_states(S.place_scores(c.said, c.para), c.para).select(*CH, "pid", F.last("place", ignorenulls=True).over(w).alias("last_place"))
+    return S.place_states(S.place_scores(c.said), c.notes).select(*CH, "pid", F.last("place", ignorenulls=True).over(w).alias("last_place"))

@@ -144,17 +144,26 @@ def test_scene_pipeline_partitions_the_story(spark, small):
 def test_located_clusters_feed_every_language(spark):
     para = spark.createDataFrame([("d", "c", 0, "서연이 왔다."), ("d", "c", 1, "彼は泉子を見た。"), ("d", "e", 0, "Anna Marmeby sat in the mill.")], "doc_id string, chapter_id string, pid int, text string")
     clus = spark.createDataFrame([(1, "d", "c", 0, "cast", "서연", ["서연"]), (2, "d", "c", 1, "cast", "泉子", ["泉子"]), (3, "d", "c", 2, "cast", "연이", ["연이"])], "cluster_id long, doc_id string, chapter_id string, ord int, mention_type string, cluster_name string, raw_spans array<string>")
-    said = scenes.located_mentions(clus, para)
+    notes = scenes.notes(para, every=True)
+    said = scenes.located_mentions(clus, para, scenes.mentions(notes))
     got = {(r.chapter_id, r.pid, r.ord, r.plain, r.start_char) for r in said.where("mention_type = 'cast'").collect()}
     assert got == {("c", 0, 0, "서연", 0), ("c", 1, 1, "泉子", 2), ("e", 0, 1, "anna marmeby", 0)}
-    active = {(r.chapter_id, r.pid): r.active for r in scenes.frames(said, para).collect()}
+    active = {(r.chapter_id, r.pid): r.active for r in scenes.frames(said, notes).collect()}
     assert active["c", 0] == ["ent_000"] and active["c", 1] == ["ent_000", "ent_001"] and active["e", 0] == ["ent_001"]
 
 
+def test_a_preposition_before_any_place_counts(spark):
+    texts = ["Mud lay in the mud room. They spoke of mud.", "The milling of the mill.", "Nobody came. They slept inside The Old mill."]
+    para = spark.createDataFrame([("d", "c", i, t) for i, t in enumerate(texts)], "doc_id string, chapter_id string, pid int, text string")
+    clus = spark.createDataFrame([(1, "d", "c", 0, "place", "mud", ["mud"]), (2, "d", "c", 1, "place", "mill", ["mill"]), (3, "d", "c", 2, "place", "old mill", ["Old mill"])], "cluster_id long, doc_id string, chapter_id string, ord int, mention_type string, cluster_name string, raw_spans array<string>")
+    said = scenes.located_mentions(clus, para, scenes.mentions(scenes.notes(para, every=True)).where("false"))
+    assert {(r.pid, r.ord): r.score for r in scenes.place_scores(said).collect()} == {(0, 0): 2.0, (1, 1): 2.5, (2, 1): 2.5, (2, 2): 2.0}
+
+
 def test_every_match_of_the_rules_counts(spark):
     text = "Millstone by the mill. Anna Marmeby sat in the mill, and Anna Marmeby slept at the mill before dawn."
     para = spark.createDataFrame([("d", "c", 0, text)], "doc_id string, chapter_id string, pid int, text string")
-    rows = scenes.rule_occurrences(para).collect()
+    rows = scenes.mentions(scenes.notes(para.unionByName(para), every=True)).collect()
     assert sorted((r.start_char, r.span) for r in rows if r.mention_type == "cast") == [(23, "Anna Marmeby"), (57, "Anna Marmeby")]
     assert len(rows) == 5 and all(text[r.start_char :].startswith(r.span) for r in rows)
     places = [r for r in rows if r.mention_type == "place"]
