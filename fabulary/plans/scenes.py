@@ -83,9 +83,9 @@ def mentions(noted: DataFrame) -> DataFrame:
     ord numbers the entities of a chapter by first sight; one entity is one plain span of one kind.
     """
     found = noted.select(*CH, "pid", F.explode("mentions").alias("m")).select(*CH, "pid", "m.*").distinct()
-    first = found.groupBy(*CH, "mention_type", "plain").agg(F.min("pid").alias("first_pid"))
+    first = found.withColumn("first_pid", F.min("pid").over(Window.partitionBy(*CH, "mention_type", "plain")))
     order = Window.partitionBy(*CH).orderBy("first_pid", "mention_type", "plain")
-    return found.join(first.withColumn("ord", F.row_number().over(order)), [*CH, "mention_type", "plain"]).select(*CH, "ord", "mention_type", "span", "plain", "pid", "start_char", "prep")
+    return first.select(*CH, F.dense_rank().over(order).alias("ord"), "mention_type", "span", "plain", "pid", "start_char", "prep")
 
 
 def occurrences(clus: DataFrame, para: DataFrame) -> DataFrame:
