@@ -9,23 +9,29 @@ from fabulary.functions import text as X
 from fabulary.plans import book as B
 from fabulary.plans import graph as G
 from fabulary.queries import query
-from fabulary.queries.reader import MEM, Support
+from fabulary.queries.reader import EV, MEM, Support
 from fabulary.queries.story import _EID, PACKETS, every, located, upto
 from fabulary.session import cut, table
 
 _KEY = "regexp_replace(regexp_replace(lower(trim({c})), '[^a-z0-9가-힣]+', '_', 'g'), '^_+|_+$', '', 'g')"
 _IDX = "cast(nullif(regexp_extract(chapter_id, '(\\d+)', 1), '') as int)"
-REFS = MEM + (
+REFS = MEM + EV + (
+    ", ec as (select doc_id, chapter_id, scene_no, (list(action order by n))[1:4] as actions, max_by(causal_result, n) filter (where causal_result is not null) as cause from ev group by all)"
     f", nm as (select doc_id, chapter_id, {_EID.format(o='ord')} as eid, min(plain) as name from occ group by all),"
-    f" rf0 as (select m.doc_id, m.chapter_id, {_IDX.replace('chapter_id', 'm.chapter_id')} as idx, m.scene_no, concat(m.chapter_id, ':', m.scene_id) as scene_key, m.start_pid, m.end_pid, p.name as place, coalesce((select list(n.name order by n.eid) from nm n where n.doc_id = m.doc_id and n.chapter_id = m.chapter_id and list_contains(m.active_cast, n.eid)), []) as active_names, m.summary from ms m left join nm p on p.doc_id = m.doc_id and p.chapter_id = m.chapter_id and p.eid = m.place),"
+    f" rf0 as (select m.doc_id, m.chapter_id, {_IDX.replace('chapter_id', 'm.chapter_id')} as idx, m.scene_no, concat(m.chapter_id, ':', m.scene_id) as scene_key, m.start_pid, m.end_pid, p.name as place, coalesce((select list(n.name order by n.eid) from nm n where n.doc_id = m.doc_id and n.chapter_id = m.chapter_id and list_contains(m.active_cast, n.eid)), []) as active_names, m.summary, coalesce(c.actions, []) as actions, c.cause from ms m left join ec c on c.doc_id = m.doc_id and c.chapter_id = m.chapter_id and c.scene_no = m.scene_no left join nm p on p.doc_id = m.doc_id and p.chapter_id = m.chapter_id and p.eid = m.place),"
     " rf as (select *, cast(row_number() over (partition by doc_id order by idx, start_pid, scene_key) as int) as place_no from rf0)"
 )
-_ROW = "select doc_id, p.scene_key as from_key, f.scene_key as to_key, '{t}' as type, {w}::double as weight from bd where {c}"
+_ROW = "select doc_id, p.scene_key as from_key, f.scene_key as to_key, '{t}' as type, {w}::double as weight, {l} as label from bd where {c}"
 BEDGES = (
-    ", bd as (select doc_id, chapter_id, f, lag(l) over (partition by doc_id order by idx, chapter_id) as p from (select doc_id, chapter_id, idx, min_by({'scene_key': scene_key, 'place': place, 'active_names': active_names}, scene_no) as f, max_by({'scene_key': scene_key, 'place': place, 'active_names': active_names}, scene_no) as l from rf group by all)), be0 as ("
+    ", bd as (select doc_id, chapter_id, f, lag(l) over (partition by doc_id order by idx, chapter_id) as p from (select doc_id, chapter_id, idx, min_by({'scene_key': scene_key, 'place': place, 'active_names': active_names, 'actions': actions, 'cause': cause}, scene_no) as f, max_by({'scene_key': scene_key, 'place': place, 'active_names': active_names, 'actions': actions, 'cause': cause}, scene_no) as l from rf group by all)), be0 as ("
     + " union all ".join(
-        _ROW.format(t=t, w=B.WEIGHTS[t], c="p is not null and " + c)
-        for t, c in [("chapter_sequence", "true"), ("cross_chapter_character_thread", "len(list_intersect(f.active_names, p.active_names)) > 0"), ("cross_chapter_same_place", "p.place = f.place"), ("cross_chapter_place_shift", "p.place <> f.place")]
+        _ROW.format(t=t, w=B.WEIGHTS[t], c="p is not null and " + c, l=label)
+        for t, c, label in [
+            ("chapter_sequence", "true", "concat(p.scene_key, ' -> ', f.scene_key)"),
+            ("cross_chapter_character_thread", "len(list_intersect(f.active_names, p.active_names)) > 0", "concat('continued cast: ', array_to_string(list_filter(f.active_names, lambda x: list_contains(p.active_names, x))[1:4], ', '))"),
+            ("cross_chapter_same_place", "p.place = f.place", "concat('same place continues: ', f.place)"), ("cross_chapter_place_shift", "p.place <> f.place", "concat(p.place, ' -> ', f.place)"),
+            ("cross_chapter_causal_bridge", "p.cause is not null and len(f.actions) > 0", "concat(p.cause, ' -> ', f.actions[1])"),
+        ]
     )
     + "), be as (select *, concat('book_edge_', substr(sha256(concat_ws('|', type, doc_id, from_key, to_key)), 1, 24)) as edge_id from be0)"
 )
@@ -34,12 +40,16 @@ BOCC = (
     f" bo as (select o.*, {_IDX.replace('chapter_id', 'o.chapter_id')} as idx, (select min(r.scene_key) from rf r where r.doc_id = o.doc_id and r.chapter_id = o.chapter_id and o.first_pid between r.start_pid and r.end_pid) as first_scene from bo0 o)"
 )
 REAP = (
-    ", rp as (select doc_id, key, from_key, first_scene as to_key, 'entity_reappearance' as type, 0.66::double as weight, concat('book_edge_', substr(sha256(concat_ws('|', 'entity_reappearance', doc_id, key, from_chapter, chapter_id)), 1, 24)) as edge_id from (select *, lag(first_scene) over w as from_key, lag(chapter_id) over w as from_chapter from bo window w as (partition by doc_id, key order by idx, chapter_id)) where from_key is not null and first_scene is not null)"
+    ", rp as (select doc_id, key, from_key, first_scene as to_key, 'entity_reappearance' as type, 0.66::double as weight, concat(key, ' reappears across chapters') as label, concat('book_edge_', substr(sha256(concat_ws('|', 'entity_reappearance', doc_id, key, from_chapter, chapter_id)), 1, 24)) as edge_id from (select *, lag(first_scene) over w as from_key, lag(chapter_id) over w as from_chapter from bo window w as (partition by doc_id, key order by idx, chapter_id)) where from_key is not null and first_scene is not null)"
 )
+_SAFE = "substr(regexp_replace({c}, '[^a-zA-Z0-9:_-]', '_', 'g'), 1, 180)"
 CLAIMS = (
-    ", ae as (select doc_id, from_key, to_key, type, weight, edge_id from be union all select doc_id, from_key, to_key, type, weight, edge_id from rp),"
-    " cl0 as (select doc_id, scene_key, 'state' as claim_type, summary as claim, 0.74::double as confidence from rf where coalesce(summary, '') <> '' union all select doc_id, scene_key, 'place', concat('Current place: ', place), 0.78::double from rf where place is not null),"
-    " cl as (select *, substr(regexp_replace(concat_ws(':', 'claim', doc_id, scene_key, claim_type), '[^a-zA-Z0-9:_-]', '_', 'g'), 1, 180) as claim_id from cl0 union all select doc_id, to_key, case when type = 'cross_chapter_causal_bridge' then 'causal' when type in ('cross_chapter_place_shift', 'cross_chapter_same_place') then 'place' when type in ('cross_chapter_character_thread', 'entity_reappearance') then 'relation' else 'event' end, type, weight, substr(concat('claim:', edge_id), 1, 180) from ae)"
+    ", ae as (select doc_id, from_key, to_key, type, weight, label, edge_id from be union all select doc_id, from_key, to_key, type, weight, label, edge_id from rp),"
+    " cl0 as (select doc_id, scene_key, 'state' as claim_type, summary as claim, 0.74::double as confidence, '' as more from rf where coalesce(summary, '') <> '' union all select doc_id, scene_key, 'place', concat('Current place: ', place), 0.78::double, '' from rf where place is not null"
+    " union select doc_id, scene_key, 'event', a, 0.68::double, concat(':', a) from (select doc_id, scene_key, unnest(actions) as a from rf)),"
+    f" cl as (select doc_id, scene_key, claim_type, claim, confidence, {_SAFE.format(c="concat(concat_ws(':', 'claim', doc_id, scene_key, claim_type), more)")} as claim_id from cl0"
+    " union all select doc_id, to_key, case when type = 'cross_chapter_causal_bridge' then 'causal' when type in ('cross_chapter_place_shift', 'cross_chapter_same_place') then 'place' when type in ('cross_chapter_character_thread', 'entity_reappearance') then 'relation' else 'event' end, label, weight, substr(concat('claim:', edge_id), 1, 180) from ae"
+    f" union all select doc_id, first_scene, 'relation', concat(key, ' appears in ', chapter_id, '.'), 0.64::double, {_SAFE.format(c="concat_ws(':', 'claim:entity', doc_id, key, chapter_id, first_scene)")} from (select *, row_number() over (partition by doc_id, key order by idx, chapter_id) as nth, count(*) over (partition by doc_id, key) as chapters from bo) where chapters >= 2 and nth <= 12)"
 )
 ALL = REFS + BEDGES + BOCC + REAP + CLAIMS
 
@@ -53,25 +63,28 @@ class Book(Support):
         """Scenes in reading order with the names of their cast and place."""
         from fabulary.plans.scenes import entity_id
 
-        scenes, _ = self.memory()
+        scenes, events = self.memory()
         names = self.said.groupBy("doc_id", "chapter_id", "ord").agg(F.min("plain").alias("name")).select("doc_id", "chapter_id", entity_id().alias("eid"), "name")
         keys = ["doc_id", "chapter_id", "scene_no"]
         cast = scenes.select(*keys, F.explode("active_cast").alias("eid")).join(names, ["doc_id", "chapter_id", "eid"]).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("eid", "name"))), lambda x: x["name"]).alias("active_names"))
         placed = scenes.select(*keys, F.col("place").alias("eid")).join(names, ["doc_id", "chapter_id", "eid"]).select(*keys, F.col("name").alias("place_name"))
         s = scenes.join(cast, keys, "left").join(placed, keys, "left").drop("place").withColumnRenamed("place_name", "place").withColumn("active_names", F.coalesce("active_names", F.expr("cast(array() as array<string>)")))
-        return cut(B.reading_order(B.scene_refs(s)))
+        return cut(B.reading_order(B.scene_refs(s, events)))
 
     def edges(self, refs):
         occ = B.occurrences(self.said, refs)
         return B.boundary_edges(refs).unionByName(B.reappearances(occ).drop("key"))
 
+    def claims(self, refs):
+        return B.claims(refs, self.edges(refs), B.occurrences(self.said, refs))
+
 
 @query(sql("select doc_id, scene_key, place_no, place, active_names from rf", REFS))
 def p07_scene_refs(spark, sf_dir):
     return Book(spark, sf_dir).refs().select("doc_id", "scene_key", "place_no", "place", "active_names")
 
 
-@query(sql("select doc_id, from_key, to_key, type, weight, edge_id from be", REFS + BEDGES))
+@query(sql("select doc_id, from_key, to_key, type, weight, label, edge_id from be", REFS + BEDGES))
 def g09_chapter_edges(spark, sf_dir):
     return B.boundary_edges(Book(spark, sf_dir).refs())
 
@@ -104,20 +117,20 @@ def a07_located_threads(spark, sf_dir):
 def p17_located_claims(spark, sf_dir):
     b = Book(spark, sf_dir, located=True)
     refs = b.refs()
-    return B.claims(refs, b.edges(refs))
+    return b.claims(refs)
 
 
 @query(sql("select doc_id, key, from_key, to_key, type, weight, edge_id from rp", REFS + BOCC + REAP))
 def g10_entity_reappearances(spark, sf_dir):
     b = Book(spark, sf_dir)
-    return B.reappearances(B.occurrences(b.said, b.refs()))
+    return B.reappearances(B.occurrences(b.said, b.refs())).drop("label")
 
 
 @query(sql("select doc_id, scene_key, claim_type, claim, confidence, claim_id from cl"))
 def p17_claims(spark, sf_dir):
     b = Book(spark, sf_dir)
     refs = b.refs()
-    return B.claims(refs, b.edges(refs))
+    return b.claims(refs)
 
 
 @query(sql("select a.doc_id, a.edge_id, x.claim_id as from_claim, y.claim_id as to_claim from ae a join cl x on x.doc_id = a.doc_id and x.scene_key = a.from_key and x.claim_type = 'state' join cl y on y.doc_id = a.doc_id and y.scene_key = a.to_key and y.claim_type = 'state'"))
@@ -126,7 +139,7 @@ def g11_claim_relations(spark, sf_dir):
     b = Book(spark, sf_dir)
     refs = b.refs()
     edges = b.edges(refs)
-    state = B.claims(refs, edges).where("claim_type = 'state'")
+    state = b.claims(refs).where("claim_type = 'state'")
     end = lambda k, n: state.select("doc_id", F.col("scene_key").alias(k), F.col("claim_id").alias(n))
     return edges.join(end("from_key", "from_claim"), ["doc_id", "from_key"]).join(end("to_key", "to_claim"), ["doc_id", "to_key"]).select("doc_id", "edge_id", "from_claim", "to_claim")
 
@@ -141,7 +154,7 @@ def g12_reader_safe_claims(spark, sf_dir):
     b = Book(spark, sf_dir)
     refs = b.refs()
     half = refs.groupBy("doc_id").agg(F.ceil(F.count("*") / 2).cast("int").alias("reader"))
-    c = B.claims(refs, b.edges(refs)).join(refs.select("doc_id", "scene_key", "place_no"), ["doc_id", "scene_key"]).join(half, "doc_id")
+    c = b.claims(refs).join(refs.select("doc_id", "scene_key", "place_no"), ["doc_id", "scene_key"]).join(half, "doc_id")
     allowed = F.count_if(F.col("place_no") <= F.col("reader"))
     return c.groupBy("doc_id").agg(F.count("*").alias("total"), allowed.alias("allowed"), (F.count("*") - allowed).alias("removed"))
 
