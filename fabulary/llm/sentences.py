@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from fabulary.llm.normalize import INVISIBLE, LOOK_ALIKE
 from fabulary.session import cut
 
-STARTS, EM_STEPS, EM_NEAR, BACKOFF, ONE_WORD, GAP_FLOOR = 400, 25, 1e-3, 2.0, -3.0, -3.0
+STARTS, EM_STEPS, EM_NEAR, BACKOFF, ONE_WORD, GAP_FLOOR = 400, 25, 1e-3, 2.0, -3.0, 0.0
 THAI_GRAM, THAI_LONGEST = 4, 1_000
 
 MARKS = ".!?…。！？।॥｡"
@@ -393,7 +393,7 @@ class Model:
 
     def _ratios(self) -> None:
         self.right = {(k[0] + k[1], r): max(-5.0, min(5.0, log(p / self.no[k][r]))) for k, yes in self.yes.items() for r, p in yes.items()}
-        # The highest odds of a gap without a mark: below the floor it can be an event in no context.
+        # The highest log odds of a gap without a mark over all right neighbours. Ties only lower a posterior, so where this is under zero no gap can pass one half, and none is laid out.
         self.gap_top = {kind: self.left.get((kind, "<>"), -9.0) + max((v for (f, _), v in self.right.items() if f == kind + "gap"), default=0.0) for kind in self.by}
 
     def _thai_tables(self) -> None:
@@ -462,9 +462,11 @@ class Model:
                 i = lo + j
                 at[j] = self._thai_odds("l", t[max(lo, i - g) : i]) + self._thai_odds("r", t[i : min(hi, i + g)])
         usual, beyond = self.thai_lengths, self.thai_beyond
-        # Of a stretch that no way parts better than whole, nothing need be summed.
-        if n <= span and n < 2 * THAI_GRAM:
-            return []
+        # All ways with m inner boundaries weigh at most peak ** (m + 1) * (sum of their odds) ** m / m!; where all of them weigh less than the stretch left whole, no posterior passes one half.
+        if n <= span:
+            peak, inner = exp(max(usual.max(), beyond)), np.exp(at[1:n]).sum()
+            if peak * inner < 50 and peak * (exp(peak * inner) - 1) < exp(usual[n - 1]):
+                return []
         with np.errstate(divide="ignore"):
             forward = np.full(n + 1, -np.inf)
             forward[0], far = 0.0, -np.inf
