@@ -47,6 +47,7 @@ THAI_GRAM, THAI_LONGEST = 4, 1_000
 
 MARKS = ".!?…。！？।॥｡"
 _MARK = re.compile(f"[{MARKS}]+")
+_ASKS = re.compile("[!?！？]")
 _CLOSE = "”’)]」』»"
 _OPEN = "“„«‘(\"「『[¿¡"
 _SCRIPT = [("th", re.compile("[ก-๛]")), ("hi", re.compile("[ऀ-ॿ]")), ("ko", re.compile("[가-힣ᄀ-ᇿ]")), ("ja", re.compile("[ぁ-ヿｦ-ﾟ]")), ("zh", re.compile("[一-鿿]"))]
@@ -120,7 +121,8 @@ def marks(t: str, kind: str, starts: frozenset[str] | set[str]) -> Iterator[tupl
         s = e
         while s < n and t[s] == " ":
             s += 1
-        mark = "?" if any(c in "!?！？" for c in t[i:e]) else "…" if t[i] == "…" or t.startswith("..", i) else "." if t[i] == "." else "。"
+        signs = t[i:e]
+        mark = signs if signs == "." else "?" if _ASKS.search(signs) else "…" if t[i] == "…" or t.startswith("..", i) else "." if t[i] == "." else "。"
         if s == n:
             right = "END"
         else:
@@ -195,17 +197,16 @@ def gaps(t: str, kind: str, starts) -> Iterator[tuple[int, str]]:
         yield m.start() + 1, _right(t, s, len(t), starts)
 
 
-def gap_counts(t: str, kind: str, starts) -> Counter:
-    """Right neighbours of all places without a mark: between words, and between characters where blanks part no words."""
+def gap_classes(found: Counter, starts) -> Counter:
+    """What was found on the right of places without a mark, by its class."""
     out: Counter = Counter()
-    for w, n in Counter(m[0] or "“" for m in _GAP.findall(t)).items():
+    for w, n in found.items():
+        w = w or "“"
         if w[0].isupper():
             word = w.rstrip(".")
             out["U." if len(w) == 2 and w != word else "U:" + word if word in starts else "U"] += n
         else:
             out[_class(w)] += n
-    if kind in ("ja", "zh"):
-        out["C"] += max(0, len(t) - sum(out.values()))
     return out
 
 
@@ -227,6 +228,7 @@ def count_contexts(texts: DataFrame, starts: frozenset[str]) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()
         for rows in batches:
+            beside: dict[str, Counter] = {}
             for text in rows["text"]:
                 t, _ = clean(text)
                 kind = script(t)
@@ -248,12 +250,17 @@ def count_contexts(texts: DataFrame, starts: frozenset[str]) -> DataFrame:
                     continue
                 if first := _FIRST.search(t):
                     total[kind, "^", _fold(kind, "open" if first.start() else _right(t, first.start(), len(t), starts))] += 1
-                for c, n in gap_counts(t, kind, starts).items():
-                    total[kind, "<>", _fold(kind, c)] += n
+                found = [w for w, _ in _GAP.findall(t)]
+                beside.setdefault(kind, Counter()).update(found)
+                if kind in ("ja", "zh"):  # between characters, as blanks part no words
+                    total[kind, "<>", "rest"] += max(0, len(t) - len(found))
                 for _, left, right, _ in marks(t, kind, starts):
                     total[kind, left, _fold(kind, right)] += 1
                 if t and not _MARK.search(t, max(0, len(t) - 4)):
                     total[kind, "<>", "END"] += 1
+            for kind, found in beside.items():
+                for c, n in gap_classes(found, starts).items():
+                    total[kind, "<>", _fold(kind, c)] += n
             if len(total) > 200_000:
                 yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["script", "left", "right", "n"])
                 total.clear()
