@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fabulary.functions import text as X
@@ -63,3 +63,33 @@ def neighbourhood(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges of which both ends are among the nodes."""
     return edges.join(nodes.select(F.col("node_id").alias("from_id")).distinct(), "from_id", "left_semi").join(nodes.select(F.col("node_id").alias("to_id")).distinct(), "to_id", "left_semi")
+
+
+def _node(*parts):
+    return F.concat(F.lit("kg_node_"), X.short_hash(F.concat_ws("|", *parts), 28))
+
+
+def project_events(refs: DataFrame, events: DataFrame, actors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Event nodes, and edges from scenes to their events, from events to who acts in them, and from scene to scene.
+
+    events: doc_id, scene_key, event_key, action, causal_result; actors: doc_id, event_key, name.
+    """
+    scene = lambda c: _node(F.col("doc_id"), F.lit("scene"), F.col(c))
+    event = _node(F.col("doc_id"), F.lit("event"), F.col("event_key"))
+    nodes = events.select(event.alias("node_id"), F.lit("event").alias("kind"), F.col("action").alias("label"), "scene_key", F.filter(F.array("action", "causal_result"), lambda t: t.isNotNull()).alias("tags"))
+    w = Window.partitionBy("doc_id", "chapter_id").orderBy("scene_no")
+    follow = refs.withColumn("prev", F.lag("scene_key").over(w)).where("prev is not null").select(scene("prev").alias("from_id"), scene("scene_key").alias("to_id"), F.lit("scene_sequence").alias("type"))
+    held = events.select(scene("scene_key").alias("from_id"), event.alias("to_id"), F.lit("contains_event").alias("type"))
+    act = actors.where(X.key("name") != "").select(event.alias("from_id"), _node(F.col("doc_id"), F.lit("character"), X.key("name")).alias("to_id"), F.lit("actor").alias("type"))
+    return nodes, held.unionByName(act).unionByName(follow)
+
+
+def project_mentions(said: DataFrame) -> DataFrame:
+    """Edges from every entity of a chapter to its mentions."""
+    place = [F.col("chapter_id"), F.col("ord").cast("string")]
+    spot = [F.col("pid").cast("string"), F.col("start_char").cast("string"), F.col("span")]
+    return said.select(_node(F.col("doc_id"), F.lit("entity"), *place).alias("from_id"), _node(F.col("doc_id"), F.lit("mention"), *place, *spot).alias("to_id"), F.lit("has_mention").alias("type"), F.concat("plain", F.lit(" mentioned as "), "span").alias("label"))
+
+
+# Which stage's artifact gives a graph; every other stage gives an empty one.
+PROJECTED = {"SUP.0": "events", "ENT.3": "mentions"}

@@ -282,3 +282,13 @@ def scene_texts(sc: DataFrame, fr: DataFrame, para: DataFrame) -> DataFrame:
     each = lists.join(texts, CH).select(*CH, "telling", "texts", F.explode("scenes").alias("s"))
     joined = F.array_join(F.transform(told, lambda t: F.concat(F.lit("[P"), t["pid"], F.lit("] "), t["text"])), "\n\n")
     return each.select(*CH, "s.scene_id", F.nullif(joined, F.lit("")).alias("scene_text"))
+
+
+def title_context(packed: DataFrame, fr: DataFrame, para: DataFrame, paragraphs: int = 3, chars: int = 400) -> DataFrame:
+    """What a scene's title is asked with: its places at both ends, its first cast, and a look into its first paragraphs. Only their texts are shuffled."""
+    ends = packed.select(*CH, "scene_no", "scene_id", F.get("pids", F.lit(0)).alias("first"), F.get("pids", F.size("pids") - 1).alias("last"))
+    at = lambda c, *cols: fr.select(*CH, F.col("pid").alias(c), *cols)
+    head = packed.select(*CH, "scene_no", F.explode(F.slice("pids", 1, paragraphs)).alias("pid"))
+    texts = head.join(para, [*CH, "pid"]).groupBy(*CH, "scene_no").agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("pid", "text"))), lambda t: t["text"]), " "), 1, chars).alias("preview"))
+    out = ends.join(at("first", F.col("place").alias("start_place"), F.col("active").alias("active_cast")), [*CH, "first"], "left").join(at("last", F.col("place").alias("end_place")), [*CH, "last"], "left").join(texts, [*CH, "scene_no"], "left")
+    return out.select(*CH, "scene_id", "start_place", "end_place", F.coalesce("active_cast", F.expr("cast(array() as array<string>)")).alias("active_cast"), F.coalesce("preview", F.lit("")).alias("preview"))

@@ -103,23 +103,37 @@ def verified(p: DataFrame) -> DataFrame:
     return p.where("choice <> 'suppressed'").withColumn("redundant", F.row_number().over(w) > 1)
 
 
-def shown(v: DataFrame, resume_gap_ms: int, fatigue: float, visual_useful: bool, boundary_active: bool, recovery_signal: bool) -> DataFrame:
-    """Per scene what the governor lets through, for one state of the reader."""
-    reentry, tired = resume_gap_ms >= 600_000, max(0.0, min(1.0, fatigue)) >= 0.65
-    units_in_order = F.array_sort(F.collect_list(F.struct("place", "label", "kind", "display")))
-    plan = v.where("not redundant").groupBy(*CH, "scene_no", "scene_id").agg(units_in_order.alias("u"))
-    of = lambda d: F.filter("u", lambda x: x["display"] == d)
-    visible, expandable, trigger = of("visible"), of("expandable"), of("trigger_only")
+def governed(p: DataFrame, states: DataFrame) -> DataFrame:
+    """Per scene and state of the reader (state, resume_gap_ms, fatigue, visual, active, signal) what the governor lets through.
+
+    Where pictures are of no use, units of visual context are held back; people and places stand beside the picture. A reader in
+    need of recovery with nothing before the text is given the first unit that recovers: of those on demand, then of those
+    triggered, then of the other visible ones. states is a stated, short table.
+    """
+    v = verified(p).where("not redundant")
+    plan = v.groupBy(*CH, "scene_no", "scene_id").agg(F.array_sort(F.collect_list(F.struct("place", "label", "kind", "display", "problem"))).alias("u"))
+    held = p.where("choice = 'suppressed'").groupBy(*CH, "scene_no").agg(F.count("*").alias("base"))
+    s = states.select("state", (F.col("resume_gap_ms") >= 600_000).alias("reentry"), (F.greatest(F.lit(0.0), F.least(F.lit(1.0), "fatigue")) >= 0.65).alias("tired"), "visual", "active", "signal")
+    every = F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in r.asDict().items()]) for r in s.orderBy("state").collect()])  # one row per state
+    g = plan.join(held, [*CH, "scene_no"], "left").withColumn("s", F.explode(every)).select("*", "s.*").drop("s")
+    of = lambda d, c: F.filter("u", lambda x: (x["display"] == d) & c(x))
+    picture = lambda x: x["kind"] == "visual_context"
+    beside = lambda x: x["kind"].isin("character_focus", "spatial_continuity") | picture(x)
+    g = g.withColumns({
+        "visible": of("visible", lambda x: F.lit(True)), "trigger": of("trigger_only", lambda x: F.lit(True)), "hidden": F.size(F.filter("u", lambda x: (x["display"] != "visible") & picture(x) & ~F.col("visual"))),
+        "beside": of("expandable", lambda x: beside(x) & (F.col("visual") | ~picture(x))), "rest": of("expandable", lambda x: ~beside(x)),
+        "fired": of("trigger_only", lambda x: (x["kind"] == "reentry_recap") & F.col("reentry") | picture(x) & F.col("visual")),
+    })
+    none = F.slice("visible", 1, 0)
+    g = g.withColumns({"over": F.slice("visible", F.lit(2), F.greatest(F.size("visible"), F.lit(1))), "b0": F.when(F.col("active") & ~F.col("tired"), F.slice("visible", 1, 1)).otherwise(none)})
+    recovers = F.slice(F.filter(F.concat("rest", "fired", "over"), lambda x: x["problem"].isin("state_recovery", "boundary_update") | x["kind"].isin("snapshot", "boundary_delta")), 1, 1)
+    g = g.withColumn("before", F.when((F.size("b0") == 0) & F.col("signal") & ~F.col("tired"), recovers).otherwise(F.col("b0")))
     names = lambda c: F.transform(c, lambda x: x["label"])
-    beside = F.filter(expandable, lambda x: x["kind"].isin("character_focus", "spatial_continuity"))
-    rest = F.filter(expandable, lambda x: ~x["kind"].isin("character_focus", "spatial_continuity"))
-    fired = F.filter(trigger, lambda x: (x["kind"] == "reentry_recap") & F.lit(reentry) | (x["kind"] == "visual_context") & F.lit(visual_useful))
-    over = F.slice(visible, 2, 100)
-    before = F.slice(visible, 1, 1) if boundary_active and not tired else F.slice(visible, 1, 0)
-    recovery = F.slice(F.filter(over, lambda x: x["kind"].isin("snapshot", "boundary_delta")), 1, 1)
-    if recovery_signal and not tired:
-        before = F.when(F.size(before) == 0, recovery).otherwise(before)
-    labels = names(before)
-    return plan.select(
-        *CH, "scene_id", labels.alias("before_text"), names(beside).alias("beside_visual"), X.drop(names(F.concat(over, rest, fired)), labels).alias("on_demand"), (F.size(trigger) - F.size(fired)).alias("hidden_triggers"),
+    said = F.array(
+        F.when(F.col("reentry"), "session_reentry"), F.when(F.col("signal"), "recovery_signal"), F.when(F.col("visual"), "visual_useful").otherwise("visual_suppressed"), F.when(F.col("tired"), "support_fatigue_high"),
+        F.when((F.size("b0") == 0) & (F.size("before") > 0), "promoted_recovery_unit"),
+    )
+    return g.select(
+        *CH, "scene_id", "state", names(F.col("before")).alias("before_text"), names(F.col("beside")).alias("beside_visual"), names(X.drop(F.concat("over", "rest", "fired"), "before")).alias("on_demand"),
+        (F.size("trigger") - F.size("fired")).alias("hidden_triggers"), (F.coalesce("base", F.lit(0)) + F.col("hidden")).cast("int").alias("suppressed"), F.filter(said, lambda x: x.isNotNull()).alias("diagnostics"),
     )

@@ -10,7 +10,7 @@ from fabulary.plans import book as B
 from fabulary.plans import graph as G
 from fabulary.queries import query
 from fabulary.queries.reader import EV, MEM, Support
-from fabulary.queries.story import _EID, PACKETS, every, located, upto
+from fabulary.queries.story import _EID, PACKETS, RULES, every, located, upto
 from fabulary.session import cut, table
 
 _KEY = "regexp_replace(regexp_replace(lower(trim({c})), '[^a-z0-9가-힣]+', '_', 'g'), '^_+|_+$', '', 'g')"
@@ -75,6 +75,17 @@ class Book(Support):
         occ = B.occurrences(self.said, refs)
         return B.boundary_edges(refs).unionByName(B.reappearances(occ).drop("key"))
 
+    def events_by_key(self):
+        """Events by their keys in the book."""
+        key = lambda c, n: F.concat("chapter_id", F.lit(":"), c).alias(n)
+        return self.memory()[1].select("doc_id", "chapter_id", key("scene_id", "scene_key"), key("event_id", "event_key"), "pid", "action", "causal_result")
+
+    def actors(self):
+        """Who is named in the paragraph of an event: doc_id, event_key, name."""
+        names = self.said.groupBy("doc_id", "chapter_id", "ord").agg(F.min("plain").alias("name"))
+        here = self.said.where("mention_type = 'cast'").select("doc_id", "chapter_id", "pid", "ord").distinct().join(names, ["doc_id", "chapter_id", "ord"])
+        return self.events_by_key().join(here, ["doc_id", "chapter_id", "pid"]).select("doc_id", "event_key", "name").distinct()
+
     def claims(self, refs):
         return B.claims(refs, self.edges(refs), B.occurrences(self.said, refs))
 

@@ -118,7 +118,8 @@ _L = "list_transform(list_filter(u, lambda x: {c}), lambda x: x.label)"
 )
 def e15_governor(spark, sf_dir):
     """What a reader who comes back after ten minutes and is not tired is shown."""
-    return P.shown(P.verified(Support(spark, sf_dir).policy()), 600_000, 0.2, True, True, False)
+    state = spark.createDataFrame([(0, 600_000, 0.2, True, True, False)], "state int, resume_gap_ms long, fatigue double, visual boolean, active boolean, signal boolean")
+    return P.governed(Support(spark, sf_dir).policy(), state).select(*CH, "scene_id", "before_text", "beside_visual", "on_demand", "hidden_triggers")
 
 
 @query(sql("select kind, count(*) as units, round(avg(score), 4) as mean_score, round(min(score), 6) as least from un group by kind", MEM + EV + EDGES + DELTAS + UNITS))
