@@ -9,6 +9,7 @@ from fabulary.functions import reader_text as T
 from fabulary.functions import text as X
 from fabulary.plans import book as B
 from fabulary.plans import graph as G
+from fabulary.plans import runstore as K
 from fabulary.plans import support as P
 from fabulary.queries import book as Q
 from fabulary.queries import query
@@ -270,3 +271,75 @@ def r05_pause_and_backscroll(spark, sf_dir):
     of = lambda kind: F.max(F.when(F.col("event_type") == kind, F.unix_micros(F.col("ts").cast("timestamp")))).over(w)
     e = table(spark, sf_dir, "events").withColumns({"nav": of("click"), "seen": of("view")})
     return e.select("event_id", F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")) - F.col("nav") >= 45_000_000, F.lit(False)).alias("long_pause"), F.coalesce(F.col("seen") > F.coalesce("nav", F.lit(0)), F.lit(False)).alias("backscroll"))
+
+
+# ---- the run store's steps over the trials: a trial's number is a run, its response an artifact (K-01, K-05, K-10)
+
+_REFS = "with t as (select distinct doc_id, chapter_id, concat('run_', trial_id) as run_id, stage_id as stage, md5(coalesce(raw_response, '')) as artifact_id, created_at as written_at from llm_trials), l as (select doc_id, chapter_id, run_id, stage, max_by(artifact_id, {'w': written_at, 'a': artifact_id}) as artifact_id from t group by all)"
+
+
+def _trial_runs(spark, sf_dir):
+    t = table(spark, sf_dir, "llm_trials").select("doc_id", "chapter_id", F.concat(F.lit("run_"), "trial_id").alias("run_id"), F.col("stage_id").alias("stage"), F.md5(F.coalesce("raw_response", F.lit(""))).alias("artifact_id"), F.col("created_at").alias("written_at")).distinct()
+    return K.refs_by_run(t)
+
+
+@query(_REFS + " select doc_id, chapter_id, run_id, map_from_entries(list((stage, artifact_id) order by stage)) as refs from l group by all")
+def k01_run_references(spark, sf_dir):
+    """By run and stage the result written last."""
+    return _trial_runs(spark, sf_dir)
+
+
+@query(_REFS + ", s as (select * from l where stage not in (" + ", ".join(f"'{x}'" for x in sorted(G.descendants("STATE.3") | {"STATE.3"})) + ")) select r.doc_id, r.chapter_id, r.run_id, cast(count(s.stage) as int) as kept, list(s.stage order by s.stage) filter (where s.stage is not null) as stages from (select distinct doc_id, chapter_id, run_id from l) r left join s using (doc_id, chapter_id, run_id) group by all")
+def k05_forked_references(spark, sf_dir):
+    """What is left of every run when its scene titles are done again."""
+    r = K.forked(_trial_runs(spark, sf_dir), "STATE.3").withColumn("stages", F.array_sort(F.map_keys("refs")))
+    return r.select(*K.RUN_KEY, F.size("stages").alias("kept"), F.when(F.size("stages") > 0, F.col("stages")).alias("stages"))
+
+
+@query(_REFS + ", r as (select doc_id, chapter_id, run_id, count(*) as n from l group by all) select doc_id, chapter_id, run_id, row_number() over (partition by doc_id, chapter_id order by n desc, run_id) = 1 as favourite from r")
+def k10_favourite_runs(spark, sf_dir):
+    """The run of a chapter with most results made its favourite, the others not."""
+    runs = _trial_runs(spark, sf_dir).withColumns({"favourite": F.lit(False), "n": F.size("refs")})
+    w = Window.partitionBy("doc_id", "chapter_id").orderBy(F.desc("n"), "run_id")
+    best = runs.withColumn("nth", F.row_number().over(w)).where("nth = 1")
+    return K.favoured(runs, best).select(*K.RUN_KEY, "favourite")
+
+
+# ---- steps over the graph of a book (G-04)
+
+
+@query(
+    Q.sql(
+        "select w.node_id, min(w.hops) as hops from w group by node_id",
+        Q.REFS + Q.KG + ", both_ways as (select from_id as a, to_id as b from ke union select to_id, from_id from ke), w as (select node_id, 0 as hops from (select min(node_id) as node_id from kn where kind = 'place') union select e.b, w.hops + 1 from w join both_ways e on e.a = w.node_id where w.hops < 3)",
+    )
+)
+def g04_graph_hops(spark, sf_dir):
+    """All nodes of the project graph within three undirected steps of one place, breadth first."""
+    nodes, edges = G.project(Q.Book(spark, sf_dir).refs())
+    return G.neighbourhood(edges, nodes.where("kind = 'place'").agg(F.min("node_id").alias("node_id")), 3)
+
+
+# ---- what model answers say of mentions, checked against the text (C-10)
+
+_SAID = "x as (select distinct trial_key, doc_id, chapter_id, m from (select trial_key, doc_id, chapter_id, unnest(from_json(json_extract(raw_response, '$.mentions'), '[{\"pid\":\"INTEGER\",\"span\":\"VARCHAR\",\"mention_type\":\"VARCHAR\"}]')) as m from llm_trials where stage_id = 'ENT.1' and json_valid(raw_response) and json_type(raw_response, '$.mentions') = 'ARRAY'))"
+
+
+@query(
+    "with " + _SAID + ", pids as (select distinct doc_id, chapter_id, pid from paragraphs), nm as (select distinct doc_id, chapter_id, mention_type, s as span from (select doc_id, chapter_id, mention_type, unnest(raw_spans) as s from mention_clusters))"
+    " select trial_key, 'out_of_range_evidence' as issue, concat('pid ', m.pid, ' not in chapter') as detail from x where not exists (select 1 from pids p where p.doc_id = x.doc_id and p.chapter_id = x.chapter_id and p.pid = x.m.pid) and m.pid is not null"
+    " union select trial_key, 'cast_not_in_union', concat(m.span, ' not in cast') from x where m.mention_type = 'cast' and m.span is not null and not exists (select 1 from nm n where n.doc_id = x.doc_id and n.chapter_id = x.chapter_id and n.mention_type = 'cast' and n.span = x.m.span)"
+    " union select trial_key, 'place_named_otherwise', concat(m.span, ' is no place here') from x where m.mention_type = 'place' and m.span is not null and not exists (select 1 from nm n where n.doc_id = x.doc_id and n.chapter_id = x.chapter_id and n.mention_type = 'place' and n.span = x.m.span) and exists (select 1 from nm n where n.doc_id = x.doc_id and n.chapter_id = x.chapter_id and n.span = x.m.span)"
+)
+def c10_answer_issues(spark, sf_dir):
+    """Mentions in model answers: paragraphs that the chapter has not, cast that no cluster holds, places that are known as something else."""
+    parsed = F.from_json("raw_response", "mentions array<struct<pid int, span string, mention_type string>>")
+    x = table(spark, sf_dir, "llm_trials").where("stage_id = 'ENT.1'").select("trial_key", "doc_id", "chapter_id", F.explode(parsed["mentions"]).alias("m")).select("trial_key", "doc_id", "chapter_id", "m.*").distinct()
+    here = table(spark, sf_dir, "paragraphs").select("doc_id", "chapter_id", "pid").distinct()
+    names = table(spark, sf_dir, "mention_clusters").select("doc_id", "chapter_id", "mention_type", F.explode("raw_spans").alias("span")).distinct()
+    issue = lambda df, kind, detail: df.select("trial_key", F.lit(kind).alias("issue"), detail.alias("detail"))
+    keys, of = ["doc_id", "chapter_id", "span"], lambda t: names.where(F.col("mention_type") == t)
+    pid = issue(x.where("pid is not null").join(here, ["doc_id", "chapter_id", "pid"], "left_anti"), "out_of_range_evidence", F.concat(F.lit("pid "), "pid", F.lit(" not in chapter")))
+    cast = issue(x.where("mention_type = 'cast'").join(of("cast"), keys, "left_anti").where("span is not null"), "cast_not_in_union", F.concat("span", F.lit(" not in cast")))
+    place = issue(x.where("mention_type = 'place'").join(of("place"), keys, "left_anti").join(names, keys, "left_semi"), "place_named_otherwise", F.concat("span", F.lit(" is no place here")))
+    return pid.unionByName(cast).unionByName(place).distinct()

@@ -18,7 +18,9 @@ UNIT_SCHEMA = (
     "path string, spine_index int, unit_id string, manifest_id string, href string, original_title string, toc_title string, heading_title string, paragraphs array<string>, text_length int, link_text_length int, image_count int, class_hints array<string>, body_text string"
 )
 # Elements that are never text, and those that make a paragraph.
-SKIP, BLOCK, HEAD = {"script", "style", "nav", "head"}, {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "dt", "dd", "figcaption", "td"}, {"h1", "h2", "h3", "h4"}
+SKIP, BLOCK, HEAD = {"script", "style", "nav", "head"}, {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "figcaption"}, {"h1", "h2", "h3", "h4"}
+# Elements before which a paragraph that is still open ends, as a browser reads them, and lists that hold items.
+ENDS_P, LISTS = BLOCK | {"div", "ul", "ol", "dl", "dt", "dd", "table", "section", "article", "aside", "header", "footer", "main", "nav", "figure", "form", "hr", "address", "fieldset"}, {"ul", "ol"}
 VOID = {"br", "img", "hr", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 
 
@@ -36,6 +38,7 @@ class _Page(HTMLParser):
         self.divs: list[str] = []
         self.heads: list[str] = []
         self.text: list[str] = []
+        self.shown: list[str] = []
         self.links = self.images = self.skip = 0
         self.hints: list[str] = []
 
@@ -44,6 +47,11 @@ class _Page(HTMLParser):
         for name in ("id", "class", "epub:type", "type", "role"):
             self.hints += (found.get(name) or "").split()
         self.images += tag in ("img", "image", "svg")
+        open_tags = [t["tag"] for t in self.stack]
+        if tag in ENDS_P and "p" in open_tags:
+            self.handle_endtag("p")
+        elif tag == "li" and "li" in open_tags and not LISTS & set(open_tags[len(open_tags) - open_tags[::-1].index("li") :]):
+            self.handle_endtag("li")
         if tag in VOID:
             self.handle_data("\n" if tag == "br" else "")
             return
@@ -56,6 +64,7 @@ class _Page(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.text.append(data)
         if not self.skip:
+            self.shown.append(data)
             for open_tag in self.stack:
                 open_tag["text"].append(data)
 
@@ -77,11 +86,16 @@ class _Page(HTMLParser):
 
 
 def read_page(html: str) -> dict:
-    """Paragraphs and figures of one page: leaf blocks, else leaf divs, else lines."""
+    """Paragraphs and figures of one page: leaf blocks, else leaf divs, else lines of what is shown.
+
+    body_text is all text of the page, that of its head and scripts too; it serves to tell what kind of page it is.
+    """
     page = _Page()
     page.feed(html)
     page.close()
-    lines = [x for x in map(squeezed, "".join(page.text).split("\n")) if len(x) > 1]
+    while page.stack:
+        page.handle_endtag(page.stack[-1]["tag"])
+    lines = [x for x in map(squeezed, "".join(page.shown).split("\n")) if len(x) > 1]
     paragraphs = page.blocks or page.divs or lines
     generic = re.compile(r"^(item|id|xhtml|html|body|text|page|file|section|chapter)[\s._-]*\d*$", re.I)
     return {
@@ -122,7 +136,7 @@ def read_book(path: str, raw: bytes) -> Iterator[dict]:
             html = archive.read(posixpath.normpath(posixpath.join(base, unquote(item["href"])))).decode("utf-8", "replace")
         except KeyError:
             continue
-        yield {"path": path, "spine_index": k, "unit_id": f"{ref}#{k}", "manifest_id": ref, "href": item["href"], "original_title": posixpath.basename(item["href"]), "toc_title": titles.get(item["href"].lower()), **read_page(html)}
+        yield {"path": path, "spine_index": k, "unit_id": f"spine:{k}:{ref}", "manifest_id": ref, "href": item["href"], "original_title": posixpath.basename(item["href"]), "toc_title": titles.get(item["href"].lower()), **read_page(html)}
 
 
 def read_epubs(spark: SparkSession, path: str) -> DataFrame:

@@ -99,6 +99,23 @@ def test_run_store(spark, tmp_path):
     assert {(r.run_id, tuple(r.refs)) for r in store.runs().collect()} == {("r1", ("PRE.1",))}
     assert store.artifacts().count() == 2
     assert runstore.new_run_id({"19700101000000"}, 0) == "19700101000001"
+    assert store.artifact("d", "c", "r1", "PRE.1").payload == '{"n":1}' and store.artifact("d", "c", "r1", "PRE.2") is None
+    store.save_models("d", "c", "r1", {"ENT.1": "a"})
+    store.save_models("d", "c", "r1", {"ENT.1": "b"})
+    assert store.models("d", "c", "r1") == {"ENT.1": "b"} and store.models("d", "c", "r9") == {}
+    row = lambda stage, ident, body: ("d", "c", "r1", stage, "node", ident, body)
+    store.replace_graph(spark.createDataFrame([row("PRE.1", "a", "x"), row("PRE.1", "b", "x"), row("PRE.2", "c", "x")], runstore.NODE))
+    store.replace_graph(spark.createDataFrame([row("PRE.1", "a", "y")], runstore.NODE))
+    assert {(r.stage_id, r.row_id, r.body) for r in store.graph().collect()} == {("PRE.1", "a", "y")}  # PRE.2 is no longer held by the run
+
+
+def test_a_store_that_cannot_be_read_is_no_empty_store(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "runs").mkdir()
+    (tmp_path / "runs" / "part.parquet").write_text("no parquet")
+    with pytest.raises(Exception):  # noqa: B017
+        runstore.RunStore(spark, str(tmp_path)).save("d", "c", "r", "PRE.1", {})
 
 
 def test_epub(spark, tmp_path):
@@ -114,6 +131,16 @@ def test_epub(spark, tmp_path):
     assert (unit.image_count, unit.link_text_length, unit.class_hints) == (1, 4, ["a", "b"])
 
 
+def test_pages_with_open_tags_and_hidden_text():
+    read = epub.read_page
+    assert read("<body><p>One<p>Two &amp; three<p>Four")["paragraphs"] == ["One", "Two & three", "Four"]
+    assert read("<ul><li>First<li>Second<ul><li>Inner</ul></ul><p>Last</p>")["paragraphs"] == ["First", "Inner", "Last"]
+    assert read("<p>Before<div>Inside</div>")["paragraphs"] == ["Before"] and read("<p>Before<h2>Head</h2>after")["paragraphs"] == ["Before", "Head"]
+    assert read("<html><head><title>T1 title</title><style>p{color:red}</style></head><body>Line one\nLine two<script>x()</script></body>")["paragraphs"] == ["Line one", "Line two"]
+    assert read("<blockquote><p>Quoted</p></blockquote><div>loose</div>")["paragraphs"] == ["Quoted"] and read("<div>A one<div>B two</div></div>")["paragraphs"] == ["B two"]
+    assert read("<table><tr><td>Cell</td></tr></table>")["paragraphs"] == ["Cell"] and read("")["paragraphs"] == []
+
+
 def test_stream_equals_batch(spark, tmp_path):
     t0 = pd.Timestamp("2025-01-01")
     rows = [(i, t0 + pd.Timedelta(seconds=s), u, a) for i, (s, u, a) in enumerate([(0, 1, "click"), (599, 1, "view"), (1199, 1, "click"), (5, 2, "click")] + [(1200 + k, 1, "click") for k in range(6)])]
