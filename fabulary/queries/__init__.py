@@ -18,4 +18,4 @@ def query(sql: str | None = None):
     return register
 
 
-from fabulary.queries import book, catalog, context, extra, ingest, reader, story  # noqa: E402, F401
+from fabulary.queries import book, catalog, context, extra, ingest, packets, reader, story  # noqa: E402, F401

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fabulary.plans import scenes as S
 from fabulary.plans import support as P
+from fabulary.plans.packets import LOW_TERMS, SPATIAL_TERMS
 from fabulary.queries import query
 from fabulary.queries.story import PACKETS, Chapter, upto
 from fabulary.session import cut
@@ -140,8 +141,7 @@ def a14_readiness(spark, sf_dir):
     return per.select(*CH, "scenes", "placed", F.filter(advice, lambda x: x.isNotNull()).alias("advice"))
 
 
-_SPATIAL_TERMS = ["place", "room", "door", "window", "street", "garden", "forest", "road", "path", "corridor", "hall", "stairs", "inside", "outside", "left", "right", "behind", "under", "above", "across", "toward", "through", "enter", "leave", "move", "run", "follow", "hide", "search", "look", "find"]
-_LOW_TERMS = ["think", "thought", "remember", "feel", "felt", "wonder", "said", "asked", "answered"]
+_SPATIAL_TERMS, _LOW_TERMS = SPATIAL_TERMS, LOW_TERMS
 
 
 @query(

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from fabulary.functions import jsontext
 from fabulary.functions import text as X
 from fabulary.operators import folds
-from fabulary.plans import graph, model, runstore, scenes, support
+from fabulary.functions import reader_text as T
+from fabulary.plans import book, graph, model, packets, runstore, scenes, support
 from fabulary.sources import epub
 from fabulary.streaming import reader
 
@@ -141,6 +142,42 @@ def test_pages_with_open_tags_and_hidden_text():
     assert read("<table><tr><td>Cell</td></tr></table>")["paragraphs"] == ["Cell"] and read("")["paragraphs"] == []
 
 
+def test_text_ranges_and_segments(spark):
+    rows = [("Old  mill", "They saw the old mill burn."), ("a.b", "xa.b"), ("", "x"), (None, "x"), ("gone", "here"), ("mill", None)]
+    df = spark.createDataFrame(rows, "c string, t string")
+    got = [(r.start, r.end) for r in df.select(*packets.text_range("c", "t")).collect()]
+    assert got == [(13, 21), (1, 4), (None, None), (None, None), (None, None), (None, None)]
+    anchors = spark.createDataFrame([(1, 0, 10, "a"), (1, 4, 6, "b"), (1, 10, 12, "a"), (1, 3, 3, "c"), (1, None, 4, "d"), (1, 20, 22, "e"), (1, 0, 10, "a")], "k int, start int, end int, unit string")
+    got = sorted((r.start, r.end, tuple(r.units)) for r in packets.segments(anchors, ["k"]).collect())
+    assert got == [(0, 4, ("a",)), (4, 6, ("a", "b")), (6, 12, ("a",)), (20, 22, ("e",))]
+    assert packets.segments(anchors.limit(0), ["k"]).count() == 0
+
+
+def test_overlay_takes_the_first_source_of_a_label(spark):
+    rows = [("d", "c", "s", "Ann", "Background Left ", 0, 2), ("d", "c", "s", "Ann", None, 2, 0), ("d", "c", "s", "Ben  Reed", None, 2, 1), ("d", "c", "s", None, "left", 0, 3), ("d", "c", "s", "Cy", "nowhere", 0, 4)]
+    got = {r.label: (r.anchor_x, r.anchor_y, r.character_id) for r in packets.overlay(spark.createDataFrame(rows, "doc_id string, chapter_id string, scene_id string, label string, zone string, rank int, nth long")).collect()}
+    assert got == {"Ann": (15.0, 26.0, "char_ann"), "Ben  Reed": (50.0, 52.0, "char_ben_reed"), "Cy": (50.0, 52.0, "char_cy")}
+
+
+def test_reader_text(spark):
+    rows = [("A  b SUP.3 c;", "A b  c;", "A b  c."), ("x" * 130, "x" * 119 + "…", "x" * 130 + "."), (None, None, None), ("", "", ""), ("Done!", "Done!", "Done!")]
+    df = spark.createDataFrame([(r[0],) for r in rows], "t string")
+    assert [(r.a, r.b) for r in df.select(T.compact("t").alias("a"), T.sentence("t").alias("b")).collect()] == [r[1:] for r in rows]
+    labels = [("mud -> the mill, old", "mud", "the mill, old", "the mill"), ("continued cast: Ann, Ben", None, None, "Ann"), ("Current place: x", None, None, None), (None, None, None, None), ("ann appears in ch02.", None, None, "ann"), ("a -> b => c c", "a -> b", "c c", "c c")]
+    got = [tuple(r) for r in spark.createDataFrame([(r[0],) for r in labels], "t string").select(*T.bridge("t"), book.cue("t").alias("c")).collect()]
+    assert got == [r[1:] for r in labels]
+
+
+def test_governor_states(spark):
+    units = [("snapshot", "Now", "visible", "state_recovery"), ("boundary_delta", "Shift", "visible", "boundary_update"), ("character_focus", "Cast", "expandable", "character_reentry"), ("causal_bridge", "Why", "expandable", "causal_gap"), ("reentry_recap", "Resume", "trigger_only", "session_reentry"), ("visual_context", "Scene cues", "trigger_only", "spatial_disorientation")]
+    p = spark.createDataFrame([("d", "c", 1, "s", k, lab, d, pr, i + 1, "selected") for i, (k, lab, d, pr) in enumerate(units)], "doc_id string, chapter_id string, scene_no int, scene_id string, kind string, label string, display string, problem string, place int, choice string")
+    states = spark.createDataFrame([(0, 600_000, 0.1, True, True, False), (1, 0, 0.9, False, True, True), (2, 0, 0.1, False, False, True)], "state int, resume_gap_ms long, fatigue double, visual boolean, active boolean, signal boolean")
+    got = {r.state: (r.before_text, r.beside_visual, r.on_demand, r.hidden_triggers, r.suppressed, r.diagnostics) for r in support.governed(p, states).collect()}
+    assert got[0] == (["Now"], ["Cast"], ["Shift", "Why", "Resume", "Scene cues"], 0, 0, ["session_reentry", "visual_useful"])
+    assert got[1] == ([], ["Cast"], ["Shift", "Why"], 2, 1, ["recovery_signal", "visual_suppressed", "support_fatigue_high"])
+    assert got[2] == (["Shift"], ["Cast"], ["Why"], 2, 1, ["recovery_signal", "visual_suppressed", "promoted_recovery_unit"])
+
+
 def test_stream_equals_batch(spark, tmp_path):
     t0 = pd.Timestamp("2025-01-01")
     rows = [(i, t0 + pd.Timedelta(seconds=s), u, a) for i, (s, u, a) in enumerate([(0, 1, "click"), (599, 1, "view"), (1199, 1, "click"), (5, 2, "click")] + [(1200 + k, 1, "click") for k in range(6)])]
