@@ -48,6 +48,7 @@ THAI_GRAM, THAI_LONGEST = 4, 1_000
 MARKS = ".!?…。！？।॥｡"
 _MARK = re.compile(f"[{MARKS}]+")
 _ASKS = re.compile("[!?！？]")
+_LETTERS = re.compile(r".(?:[^\W\d_]|['’])*")
 _CLOSE = "”’)]」』»"
 _OPEN = "“„«‘(\"「『[¿¡"
 _SCRIPT = [("th", re.compile("[ก-๛]")), ("hi", re.compile("[ऀ-ॿ]")), ("ko", re.compile("[가-힣ᄀ-ᇿ]")), ("ja", re.compile("[ぁ-ヿｦ-ﾟ]")), ("zh", re.compile("[一-鿿]"))]
@@ -106,12 +107,12 @@ def marks(t: str, kind: str, starts: frozenset[str] | set[str]) -> Iterator[tupl
             continue
         i, e = m.start(), m.end()
         closers = ""
-        while e < n:
+        while e < n and (t[e] != " " or t.startswith(" »", e)):
             c = t[e]
             if c in _CLOSE or c == '"' and quote and t.count('"', 0, e) % 2 or c == "“" and german and t.rfind("„", 0, e) > t.rfind("“", 0, e):
                 closers += c
                 e += 1
-            elif c == " " and e + 1 < n and t[e + 1] == "»":
+            elif c == " ":
                 closers += "»"
                 e += 2
             elif c in MARKS:
@@ -158,9 +159,7 @@ def _right(t: str, s: int, n: int, starts) -> str:
     if c.islower():
         return "l"
     if c.isupper():
-        k = s
-        while k < n and (t[k].isalpha() or t[k] in "'’"):
-            k += 1
+        k = _LETTERS.match(t, s).end()
         word = t[s:k]
         return "U." if k == s + 1 and t[k : k + 1] == "." else "U:" + word if word in starts else "U"
     if c.isdigit():
@@ -229,6 +228,7 @@ def count_contexts(texts: DataFrame, starts: frozenset[str]) -> DataFrame:
         total: Counter = Counter()
         for rows in batches:
             beside: dict[str, Counter] = {}
+            thai = {"th-al": Counter(), "th-ar": Counter()}
             for text in rows["text"]:
                 t, _ = clean(text)
                 kind = script(t)
@@ -242,11 +242,10 @@ def count_contexts(texts: DataFrame, starts: frozenset[str]) -> DataFrame:
                         total["th-l", t[max(0, e - g) : e], ""] += 1
                         total["th-r", t[b : b + g], ""] += 1
                     if ends:
-                        for seg in re.split(" ", t):
+                        for seg in t.split(" "):
                             total["th-len", str(min(len(seg), THAI_LONGEST)), ""] += 1
-                            for i in range(1, len(seg)):
-                                total["th-al", seg[max(0, i - g) : i], ""] += 1
-                                total["th-ar", seg[i : i + g], ""] += 1
+                            thai["th-al"].update([seg[max(0, i - g) : i] for i in range(1, len(seg))])
+                            thai["th-ar"].update([seg[i : i + g] for i in range(1, len(seg))])
                     continue
                 if first := _FIRST.search(t):
                     total[kind, "^", _fold(kind, "open" if first.start() else _right(t, first.start(), len(t), starts))] += 1
@@ -258,6 +257,9 @@ def count_contexts(texts: DataFrame, starts: frozenset[str]) -> DataFrame:
                     total[kind, left, _fold(kind, right)] += 1
                 if t and not _MARK.search(t, max(0, len(t) - 4)):
                     total[kind, "<>", "END"] += 1
+            for side, found in thai.items():
+                for gram, n in found.items():
+                    total[side, gram, ""] += n
             for kind, found in beside.items():
                 for c, n in gap_classes(found, starts).items():
                     total[kind, "<>", _fold(kind, c)] += n
