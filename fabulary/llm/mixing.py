@@ -23,11 +23,13 @@ share counts as 0, a missing cap as 1.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,10 +50,11 @@ def _encoder(path: str):
 
 
 def count_tokens(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """doc_id, source, tokens: every document once, texts of at least one token."""
+    """doc_id, source, tokens: every document once, texts of at least one token. The vocabulary file is sent to the workers."""
+    documents.sparkSession.sparkContext.addFile(tokenizer)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoder(tokenizer).encode_ordinary
+        encode = _encoder(SparkFiles.get(os.path.basename(tokenizer))).encode_ordinary
         for rows in batches:
             yield pd.DataFrame({"doc_id": rows["doc_id"], "source": rows["source"], "tokens": [len(encode(t)) for t in rows["text"]]})
 

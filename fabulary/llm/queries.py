@@ -90,7 +90,16 @@ def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.unionByName(candidates)
 
 
-@query()
+_SHARED = (
+    "with r as (select 'source_units' as record_kind, unit_id as id, body_text as text from source_units union select 'chapter_candidates', candidate_id, array_to_string(paragraphs, ' ') from chapter_candidates),"
+    " p as (select distinct record_kind, id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '', 'g') as t from r where text is not null and id is not null), q as (select * from p where length(t) >= 400),"
+    " g as (select record_kind, id, unnest(list_distinct(list_transform(range(1, length(t) - 10), lambda i: substr(t, i, 12)))) as s from q), n as (select record_kind, id, count(*) as n from g group by all),"
+    " c as (select a.record_kind, a.id as id_a, b.id as id_b, count(*) as c from g a join g b on a.record_kind = b.record_kind and a.s = b.s and a.id < b.id group by all)"
+    " select c.record_kind, id_a, id_b from c join n x on x.record_kind = c.record_kind and x.id = id_a join n y on y.record_kind = c.record_kind and y.id = id_b where c >= 0.6 * (x.n + y.n - c)"
+)
+
+
+@query(_SHARED)
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fabulary.llm.neardup import expand, near_duplicates
 
@@ -194,6 +203,24 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return draw_mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
+@query("select distinct source, true as known_documents, true as within_cap, true as within_quota, true as near_quota, true as one_use_a_pass from mix_targets where source is not null")
+def p8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source what the mix must keep to: documents of the source only, uses within the cap, tokens within the quota and short of it by less than one document, no document twice in a pass."""
+    from fabulary.llm.mixing import count_tokens, draw_mix, plan
+
+    documents, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
+    mix, _ = draw_mix(documents, targets)
+    counted = count_tokens(documents).join(targets.select("source").distinct(), "source", "left_semi")
+    totals = targets.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).join(counted.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.max("tokens").alias("largest")), "source", "left")
+    quotas = spark.createDataFrame(plan(totals.drop("largest").toPandas())[["source", "quota"]], "source string, quota long")  # one row per target
+    uses = mix.groupBy("source", "doc_id").agg(F.count("*").alias("uses"), F.count_distinct("pass_no").alias("passes"), F.sum("tokens").alias("drawn"))
+    known = uses.join(counted.select("doc_id", F.col("source").alias("of")), "doc_id", "left")
+    per = known.groupBy("source").agg(F.min(F.coalesce(F.col("of") == F.col("source"), F.lit(False))).alias("known"), F.max("uses").alias("most"), F.sum("drawn").alias("drawn"), F.min(F.col("uses") == F.col("passes")).alias("apart"))
+    j = totals.join(quotas, "source").join(per, "source", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    yes = lambda c, name: F.coalesce(c, F.lit(True)).alias(name)
+    return j.select("source", yes(F.col("known"), "known_documents"), yes(F.col("most") <= F.col("max_repeats"), "within_cap"), (F.col("drawn") <= F.col("quota")).alias("within_quota"), yes(F.col("drawn") + F.coalesce("largest", F.lit(0)) >= F.col("quota"), "near_quota"), yes(F.col("apart"), "one_use_a_pass"))
+
+
 # ---- problem 5
 
 def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
