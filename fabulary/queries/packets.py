@@ -112,3 +112,71 @@ def e16_anchor_segments(spark, sf_dir):
     chosen = table(spark, sf_dir, "anchored_selections").where("selected_text is not null and paragraph_text is not null and pid is not null").select(*CH, "pid", start.cast("long").alias("start"), end.cast("long").alias("end"), F.lit("selection").alias("unit"))
     named = said.select(*CH, "pid", F.col("start_char").cast("long").alias("start"), (F.col("start_char") + F.length("span")).cast("long").alias("end"), F.col("mention_type").alias("unit"))
     return V.segments(named.unionByName(chosen), [*CH, "pid"])
+
+
+# ---- what answers give a reader, field by field with fallbacks (P-09, P-14, D-10)
+
+_ANSWER = "an as (select distinct trial_key, stage_id, raw_response as r from llm_trials where json_valid(raw_response) and json_type(raw_response) = 'OBJECT')"
+_KEYS = ["scene_summary", "problem_state", "causal_result"]
+_FIELD = "nullif(trim(json_extract_string(r, '$.{k}')), '')"
+_NESTED = "nullif(trim(json_extract_string(r, '$.titles[0].title')), ''), nullif(trim(json_extract_string(r, '$.mentions[0].reason')), '')"
+
+
+def _answers(spark, sf_dir):
+    t = table(spark, sf_dir, "llm_trials").select("trial_key", "stage_id", F.col("raw_response").alias("r")).distinct()
+    return t.where(F.coalesce(F.get_json_object("r", "$").startswith("{"), F.lit(False)))
+
+
+@query(f"with {_ANSWER} select trial_key, coalesce({', '.join(_FIELD.format(k=k) for k in _KEYS)}, {_NESTED}, '') as told from an")
+def p09_answer_text(spark, sf_dir):
+    """The first field of an answer that says anything, then what is nested; empty where nothing does."""
+    field = lambda path: F.nullif(F.trim(F.get_json_object("r", path)), F.lit(""))
+    return _answers(spark, sf_dir).select("trial_key", F.coalesce(*[field(f"$.{k}") for k in _KEYS], field("$.titles[0].title"), field("$.mentions[0].reason"), F.lit("")).alias("told"))
+
+
+@query(
+    f"with {_ANSWER} select trial_key, coalesce({_FIELD.format(k='problem_state')}, {_FIELD.format(k='causal_result')}, concat('Reader hint package for ', trial_key, '.')) as summary,"
+    " list_filter(list_transform(coalesce(from_json(json_extract(r, '$.evidence_text'), '[\"VARCHAR\"]'), []), lambda t: trim(t)), lambda t: t <> '')[1:3] as hints, case when try_cast(json_extract_string(r, '$.confidence') as double) is not null then greatest(0.2::double, least(1.0::double, try_cast(json_extract_string(r, '$.confidence') as double))) else 0.4::double end as priority from an where stage_id = 'SUB.2'"
+)
+def p14_hint_packages(spark, sf_dir):
+    """A subscene's hints: a summary with its fallbacks, at most three hints, a priority between 0.2 and 1, or 0.4 where none is known."""
+    field = lambda k: F.nullif(F.trim(F.get_json_object("r", f"$.{k}")), F.lit(""))
+    listed = F.from_json(F.get_json_object("r", "$.evidence_text"), "array<string>")
+    hints = F.slice(F.filter(F.transform(F.coalesce(listed, F.expr("cast(array() as array<string>)")), lambda t: F.trim(t)), lambda t: t != ""), 1, 3)
+    sure = F.expr("try_cast(get_json_object(r, '$.confidence') as double)")
+    priority = F.when(sure.isNotNull(), F.greatest(F.lit(0.2), F.least(F.lit(1.0), sure))).otherwise(0.4)
+    a = _answers(spark, sf_dir).where("stage_id = 'SUB.2'")
+    return a.select("trial_key", F.coalesce(field("problem_state"), field("causal_result"), F.concat(F.lit("Reader hint package for "), "trial_key", F.lit("."))).alias("summary"), hints.alias("hints"), priority.alias("priority"))
+
+
+@query(
+    f"with {_ANSWER}, m as (select trial_key, list_transform(from_json(json_extract(r, '$.mentions'), '[{{\"span\":\"VARCHAR\",\"mention_type\":\"VARCHAR\"}}]'), lambda x: {{'s': trim(x.span), 't': x.mention_type}}) as l from an where json_type(r, '$.mentions') = 'ARRAY'),"
+    " c as (select trial_key, list_transform(list_concat(list_filter(l, lambda x: x.t = 'cast'), list_filter(l, lambda x: x.t <> 'cast')), lambda x: x.s) as n from m) select trial_key, list_filter(n, lambda x, i: x <> '' and list_position(n, x) = i) as merged from c"
+)
+def d10_merged_cast(spark, sf_dir):
+    """Who is on stage, then what else is named, each name once in order."""
+    parsed = F.from_json("r", "mentions array<struct<span string, mention_type string>>")["mentions"]
+    of = lambda yes: F.filter("m", lambda x: (x["mention_type"] == "cast") if yes else (x["mention_type"] != "cast"))
+    a = _answers(spark, sf_dir).withColumn("m", parsed).where("m is not null")
+    return a.select("trial_key", F.array_distinct(F.filter(F.transform(F.concat(of(True), of(False)), lambda x: F.trim(x["span"])), lambda n: n != "")).alias("merged"))
+
+
+# ---- what of a graph is drawn (T-08)
+
+
+@query(
+    Q.sql(
+        "select 'node' as what, node_id as from_id, cast(null as varchar) as to_id, nth from (select node_id, cast(row_number() over (order by kind, node_id) as int) as nth from kn where node_id in (select node_id from kt0)) where nth <= 96 union all select 'edge', from_id, to_id, nth from (select from_id, to_id, cast(row_number() over (order by from_id, to_id, type) as int) as nth from (select e.* from ke e where e.from_id in (select node_id from dr) and e.to_id in (select node_id from dr))) where nth <= 180",
+        Q.REFS + Q.KG + ", kt0 as (select node_id from kn), dr as (select node_id from (select node_id, row_number() over (order by kind, node_id) as nth from kn) where nth <= 96)",
+    )
+)
+def t08_drawn_graph(spark, sf_dir):
+    """The first 96 nodes by kind, and of the edges between them the first 180: what a canvas holds."""
+    from pyspark.sql import Window
+
+    from fabulary.plans import graph as G
+
+    nodes, edges = G.project(Q.Book(spark, sf_dir).refs())
+    first = nodes.select("kind", "node_id").orderBy("kind", "node_id").limit(96).withColumn("nth", F.row_number().over(Window.orderBy("kind", "node_id")))
+    drawn = G.induced(edges, first).orderBy("from_id", "to_id", "type").limit(180).withColumn("nth", F.row_number().over(Window.orderBy("from_id", "to_id", "type")))
+    return first.select(F.lit("node").alias("what"), F.col("node_id").alias("from_id"), F.lit(None).cast("string").alias("to_id"), "nth").unionByName(drawn.select(F.lit("edge").alias("what"), "from_id", "to_id", "nth"))
