@@ -34,9 +34,9 @@ TIME = r"\b(before dawn|at dusk|by noon|that winter|at low tide|some time later|
 RESULT = r"\b(?:because|weil|porque|car) ([^.,;!?]{3,60})"
 CUE = r"\b(rain|fog|wind|storm|snow|sun|dark|light|lamp|fire)"
 HE_SHE = r"\b(he|she|they|him|her|them|his|their)\b"
-# The first sentence of a text, and the first that is cried out; a text without any end is one sentence.
+# The first sentence of a text; a text without any end is one sentence. What ends before the one that is cried out.
 FIRST_SENTENCE = r"(?s)^\s*(.+?[.!?…。！？।]+[\"”’»」』)]*|.+)"
-LOUD_SENTENCE = r"(?s)([^.!?…。！？।]*[!])"
+BEFORE_LOUD = r"(?s)^.*[.?…。！？।]"
 
 
 def _located(text: Column, span: Column) -> Column:
@@ -73,7 +73,7 @@ def notes(para: DataFrame, every: bool = False) -> DataFrame:
     return para.select(
         *CH, "pid", (F.regexp_count("text", F.lit(";")) < LIST_MARKS).alias("narrative"), F.concat(*[(all_of if every else firsts)(*k) for k in kinds]).alias("mentions"),
         (text != "").alias("some"), F.regexp_extract("text", FIRST_SENTENCE, 1).alias("summary"), low.rlike(HE_SHE).alias("he_she"), low.rlike(CUE).alias("cue"),
-        F.when(loud, F.trim(F.regexp_extract("text", LOUD_SENTENCE, 1))).alias("action"), F.when(loud, F.nullif(F.regexp_extract("text", RESULT, 1), F.lit(""))).alias("causal_result"),
+        F.when(loud, F.trim(F.concat(F.regexp_replace(F.substring_index("text", "!", 1), BEFORE_LOUD, ""), F.lit("!")))).alias("action"), F.when(loud, F.nullif(F.regexp_extract("text", RESULT, 1), F.lit(""))).alias("causal_result"),
     ).distinct()
 
 

@@ -15,7 +15,7 @@ CH = P.CH
 MEM = ", ms as (select doc_id, chapter_id, scene_no, scene_id, start_pid, end_pid, previous_scene, cast_union as active_cast, places[1] as place, places[2:] as mentioned, time_signals[1] as time, regexp_extract(first_text, '" + S.FIRST_SENTENCE + "', 1) as summary, first_text from pk)"
 EV = (
     ", ev0 as (select s.doc_id, s.chapter_id, s.scene_no, s.scene_id, p.pid, p.text, row_number() over (partition by s.doc_id, s.chapter_id, s.scene_no order by p.pid) as n from ms s join fr f on f.doc_id = s.doc_id and f.chapter_id = s.chapter_id and f.narrative and f.pid between s.start_pid and s.end_pid join para p on p.doc_id = f.doc_id and p.chapter_id = f.chapter_id and p.pid = f.pid where contains(p.text, '!')),"
-    f" ev as (select doc_id, chapter_id, scene_no, scene_id, pid, n, concat(scene_id, ':e', lpad(cast(n as varchar), cast(greatest(2, length(cast(n as varchar))) as int), '0')) as event_id, trim(regexp_extract(text, '{S.LOUD_SENTENCE}', 1)) as action, nullif(regexp_extract(text, '{S.RESULT}', 1), '') as causal_result from ev0)"
+    f" ev as (select doc_id, chapter_id, scene_no, scene_id, pid, n, concat(scene_id, ':e', lpad(cast(n as varchar), cast(greatest(2, length(cast(n as varchar))) as int), '0')) as event_id, trim(concat(regexp_replace(split_part(text, '!', 1), '{S.BEFORE_LOUD}', ''), '!')) as action, nullif(regexp_extract(text, '{S.RESULT}', 1), '') as causal_result from ev0)"
 )
 EDGES = (
     ", e0 as (select s.*, c.cause, f.action as first_action from ms s left join (select doc_id, chapter_id, scene_no, max_by(causal_result, n) as cause from ev where causal_result is not null group by all) c using (doc_id, chapter_id, scene_no) left join (select doc_id, chapter_id, scene_no, action from ev where n = 1) f using (doc_id, chapter_id, scene_no)),"
