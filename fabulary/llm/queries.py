@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fabulary.llm.canonical_sql import canonical_sql
 from fabulary.session import table
 
 QUERIES: dict = {}
@@ -30,14 +31,20 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.unionByName(clusters)
 
 
-@query()
+_FORMS = (
+    "with r as (select 'paragraph' as record_kind, para_id as id, doc_id, chapter_id, text from paragraphs union select 'cluster', cluster_id, doc_id, chapter_id, unnest(raw_spans) from mention_clusters),"
+    f" f as (select *, {canonical_sql('text')} as form from r where text is not null and id is not null and doc_id is not null and chapter_id is not null)"
+)
+
+
+@query(_FORMS + " select distinct a.record_kind, a.id as id_a, b.id as id_b from f a join f b on a.record_kind = b.record_kind and a.doc_id = b.doc_id and a.chapter_id = b.chapter_id and a.form = b.form where a.id < b.id and a.text <> b.text")
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fabulary.llm.normalize import look_alike_pairs
 
     return look_alike_pairs(_records(spark, sf_dir))
 
 
-@query()
+@query(_FORMS + " select distinct record_kind, id as record_id, md5(form) as canonical_md5, form <> text as changed from f")
 def p2_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct text and span with the digest of its canonical form, and whether it changed."""
     from fabulary.llm.normalize import canonical_text
@@ -114,7 +121,15 @@ def p4_class_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_versions(spark, sf_dir))[1]
 
 
-@query()
+_CLASSES = _SHARED[: _SHARED.index(" g as (")] + (
+    " d as (select record_kind, t, min(id) as rep, count(*) as copies from q group by all), g as (select record_kind, rep, unnest(list_distinct(list_transform(range(1, length(t) - 10), lambda i: substr(t, i, 12)))) as s from d), n as (select record_kind, rep, count(*) as n from g group by all),"
+    " c as (select a.record_kind, a.rep as a, b.rep as b, count(*) as c from g a join g b on a.record_kind = b.record_kind and a.s = b.s and a.rep < b.rep group by all),"
+    " k as (select c.record_kind, unnest([a, b]) as rep from c join n x on x.record_kind = c.record_kind and x.rep = a join n y on y.record_kind = c.record_kind and y.rep = b where c >= 0.6 * (x.n + y.n - c)), l as (select record_kind, rep, count(*) as links from k group by all)"
+    " select q.record_kind, q.id as record_id, d.rep as class_id, d.copies, coalesce(l.links, 0) as linked_texts from q join d using (record_kind, t) left join l on l.record_kind = q.record_kind and l.rep = d.rep"
+)
+
+
+@query(_CLASSES)
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per record its class of exact copies, and how many other texts the class is linked to."""
     from fabulary.llm.neardup import near_duplicates
@@ -142,7 +157,16 @@ def p6_all_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- problem 7
 
-@query()
+_PLAIN = f"regexp_replace(lower({canonical_sql('{c}')}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')".replace("{c}", "@")
+_LEAKS = (
+    f"with d as (select distinct doc_id, {_PLAIN.replace('@', 'text')} as t from documents where text is not null and doc_id is not null), i as (select distinct item_id, case when lang in ('ko', 'ja') then 30 else 60 end as n, {_PLAIN.replace('@', 'passage')} as t from eval_items where passage is not null),"
+    " w as (select distinct item_id, n, substr(t, k, n) as s from (select *, unnest(range(1, length(t) - n + 2)) as k from i)),"
+    " p as (select distinct doc_id, substr(t, k, 30) as h, k from (select *, unnest(range(1, length(t) - 28)) as k from d))"
+    " select distinct p.doc_id, w.item_id from w join p on p.h = substr(w.s, 1, 30) join d on d.doc_id = p.doc_id and substr(d.t, p.k, w.n) = w.s"
+)
+
+
+@query(_LEAKS)
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fabulary.llm.leakage import leaks
 
