@@ -157,9 +157,12 @@ def p6_all_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- problem 7
 
-_PLAIN = f"regexp_replace(lower({canonical_sql('{c}')}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')".replace("{c}", "@")
+def _plain_sql(c: str) -> str:
+    return f"regexp_replace(lower({canonical_sql(c)}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+
+
 _LEAKS = (
-    f"with d as (select distinct doc_id, {_PLAIN.replace('@', 'text')} as t from documents where text is not null and doc_id is not null), i as (select distinct item_id, case when lang in ('ko', 'ja') then 30 else 60 end as n, {_PLAIN.replace('@', 'passage')} as t from eval_items where passage is not null),"
+    f"with d as (select distinct doc_id, {_plain_sql('text')} as t from documents where text is not null and doc_id is not null), i as (select distinct item_id, case when lang in ('ko', 'ja') then 30 else 60 end as n, {_plain_sql('passage')} as t from eval_items where passage is not null),"
     " w as (select distinct item_id, n, substr(t, k, n) as s from (select *, unnest(range(1, length(t) - n + 2)) as k from i)),"
     " p as (select distinct doc_id, substr(t, k, 30) as h, k from (select *, unnest(range(1, length(t) - 28)) as k from d))"
     " select distinct p.doc_id, w.item_id from w join p on p.h = substr(w.s, 1, 30) join d on d.doc_id = p.doc_id and substr(d.t, p.k, w.n) = w.s"
