@@ -36,3 +36,20 @@ def bridge(c: str | Column) -> tuple[Column, Column]:
     parts = F.filter(F.transform(F.split(X.col(c), r"\s*(?:->|→|=>)\s*"), lambda p: F.trim(p)), lambda p: p != "")
     many = F.size(parts) > 1
     return F.when(many, F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), " -> ")).alias("previous"), F.when(many, F.element_at(parts, -1)).alias("current")
+
+
+def fields(c: str | Column, labels: list[str]) -> Column:
+    """label -> value of a text of the form "Label: value Label: value"; a value ends where the next label begins, its last occurrence counts."""
+    text, any_of = clean(c), "|".join(labels)
+    value = lambda label: F.regexp_replace(F.try_element_at(F.regexp_extract_all(F.concat(F.lit(" "), text), F.lit(rf"(?is)\s{label}:\s*(.*?)(?=\s(?:{any_of}):|\z)"), 1), F.lit(-1)), r"[.;,\s]+$", "")
+    made = F.array(*[F.struct(F.lit(label.lower()).alias("key"), value(label).alias("value")) for label in labels])
+    return F.map_from_entries(F.filter(made, lambda f: f["value"].isNotNull() & (f["value"] != "")))
+
+
+def file_name(c: str | Column, fallback: str = "original.epub") -> Column:
+    """Letters, digits, dots and hyphens kept, the rest one underscore."""
+    return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(F.trim(X.col(c)), r"[^A-Za-z0-9_.\-]+", "_"), "_+", "_"), F.lit("")), F.lit(fallback))
+
+
+def path_segment(c: str | Column, fallback: str) -> Column:
+    return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(X.col(c)), r"[^A-Za-z0-9_\-]+", "_"), "_+", "_"), "^_+|_+$", ""), F.lit("")), F.lit(fallback))

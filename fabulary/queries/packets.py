@@ -180,3 +180,105 @@ def t08_drawn_graph(spark, sf_dir):
     first = nodes.select("kind", "node_id").orderBy("kind", "node_id").limit(96).withColumn("nth", F.row_number().over(Window.orderBy("kind", "node_id")))
     drawn = G.induced(edges, first).orderBy("from_id", "to_id", "type").limit(180).withColumn("nth", F.row_number().over(Window.orderBy("from_id", "to_id", "type")))
     return first.select(F.lit("node").alias("what"), F.col("node_id").alias("from_id"), F.lit(None).cast("string").alias("to_id"), "nth").unionByName(drawn.select(F.lit("edge").alias("what"), "from_id", "to_id", "nth"))
+
+
+# ---- fields out of free text, names of files (F-14, K-14)
+
+_LABELS = ["TASK", "LANGUAGE", "FORMAT"]
+_PROMPT = r"trim(regexp_replace(regexp_replace(prompt, '[\s\p{Z}]+', ' ', 'g'), '\b(SUP\.\d+|BOOK\.0|FINAL\.\d+)\b', '', 'g'))"
+
+
+@query(
+    "with p as (select distinct trial_key, concat(' ', " + _PROMPT + ", ' ') as t from llm_trials where prompt is not null), f as (select trial_key, "
+    + ", ".join(rf"nullif(regexp_replace(regexp_replace(case when regexp_matches(t, '(?i)\s{x}:') then (string_split_regex(t, '(?i)\s{x}:\s*'))[-1] end, '(?is)\s({'|'.join(_LABELS)}):.*$', ''), '[.;,\s]+$', ''), '') as {x.lower()}" for x in _LABELS)
+    + " from p) select trial_key, task, language, format from f"
+)
+def f14_prompt_fields(spark, sf_dir):
+    """What a prompt says under its labels."""
+    from fabulary.functions import reader_text as T
+
+    t = table(spark, sf_dir, "llm_trials").where("prompt is not null").select("trial_key", "prompt").distinct()
+    return t.withColumn("f", T.fields("prompt", _LABELS)).select("trial_key", *[F.col("f")[x.lower()].alias(x.lower()) for x in _LABELS])
+
+
+@query(r"select distinct unit_id, coalesce(nullif(regexp_replace(regexp_replace(trim(selected_title), '[^A-Za-z0-9_.\-]+', '_', 'g'), '_+', '_', 'g'), ''), 'original.epub') as file_name, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(trim(selected_title), '[^A-Za-z0-9_\-]+', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'untitled') as segment from source_units where unit_id is not null")
+def k14_file_names(spark, sf_dir):
+    """Titles as names of files and of folders."""
+    from fabulary.functions import reader_text as T
+
+    return table(spark, sf_dir, "source_units").where("unit_id is not null").select("unit_id", T.file_name("selected_title").alias("file_name"), T.path_segment("selected_title", "untitled").alias("segment")).distinct()
+
+
+# ---- overlays as a reader sees them, and what is in focus (P-20, P-21)
+
+
+@query("select distinct doc_id, chapter_id, scene_id, overlay_id, label, anchor_method = 'vision' as refined from overlay_characters where not (coalesce(anchor_method, '') = 'vision' and anchor_x is null)")
+def p20_merged_overlay(spark, sf_dir):
+    """Overlay characters but those that a look at the picture did not find; refined: their place was looked up there."""
+    o = table(spark, sf_dir, "overlay_characters").where(~((F.coalesce("anchor_method", F.lit("")) == "vision") & F.col("anchor_x").isNull()))
+    return o.select(*CH, "scene_id", "overlay_id", "label", (F.col("anchor_method") == "vision").alias("refined")).distinct()
+
+
+@query(R.sql("select doc_id, chapter_id, scene_id, case when len(overlay) >= 2 then 'pair' when len(overlay) = 1 then 'character' else 'global' end as mode, case when len(overlay) > 0 then array_to_string(list_sort(list_transform(overlay[1:2], lambda l: concat('char_', regexp_replace(lower(l), '\\s+', '_', 'g')))), '__') end as focus from rp0", R.MEM + OVERLAY))
+def p21_focus(spark, sf_dir):
+    """What is in focus when the first two characters of a scene are chosen: the pair, the one, or the scene as a whole."""
+    s = R.Support(spark, sf_dir)
+    scenes = s.memory()[0]
+    p = V.reader_packets(scenes, _overlay(s, spark, sf_dir, scenes))
+    ids = F.array_sort(F.transform(F.slice("overlay", 1, 2), lambda x: F.concat(F.lit("char_"), F.regexp_replace(F.lower(x), r"\s+", "_"))))
+    n = F.size("overlay")
+    return p.select(*CH, "scene_id", F.when(n >= 2, "pair").when(n == 1, "character").otherwise("global").alias("mode"), F.when(n > 0, F.array_join(ids, "__")).alias("focus"))
+
+
+# ---- story text only, scene ids of all logs, current and legacy store, answers compared (C-07, D-02, S-15, P-22)
+
+
+@query("with s as (select distinct doc_id, chapter_id from chapter_candidates where classification = 'content'), p as (select distinct doc_id, chapter_id, pid from paragraphs where text is not null) select p.doc_id, p.chapter_id, count(*) as paragraphs from p semi join s using (doc_id, chapter_id) group by all")
+def c07_story_paragraphs(spark, sf_dir):
+    """Paragraphs of chapters that are story text; only these go on to mentions."""
+    story = table(spark, sf_dir, "chapter_candidates").where("classification = 'content'").select(*CH).distinct()
+    return table(spark, sf_dir, "paragraphs").where("text is not null").select(*CH, "pid").distinct().join(story, CH, "left_semi").groupBy(*CH).agg(F.count("*").alias("paragraphs"))
+
+
+@query(
+    R.sql(
+        "select doc_id, chapter_id, scene_id, min(log) as first_log from (select doc_id, chapter_id, scene_id, 1 as log from ms union all select doc_id, chapter_id, scene_id, 2 from ev union all select doc_id, chapter_id, to_scene, 3 from ed union all select doc_id, chapter_id, scene_id, 4 from overlay_characters) where scene_id is not null group by all",
+        R.MEM + R.EV + R.EDGES,
+    )
+)
+def d02_scenes_of_all_logs(spark, sf_dir):
+    """Every scene that any log knows, with the first log that does."""
+    scenes, events = R.Support(spark, sf_dir).memory()
+    logs = [scenes, events, P.edges(scenes, events).withColumnRenamed("to_scene", "scene_id"), table(spark, sf_dir, "overlay_characters")]
+    rows = None
+    for i, log in enumerate(logs, 1):
+        part = log.select(*CH, "scene_id", F.lit(i).alias("log"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.where("scene_id is not null").groupBy(*CH, "scene_id").agg(F.min("log").alias("first_log"))
+
+
+@query("select 'current' as store, doc_id, count(distinct chapter_id) as chapters from chapter_candidates group by all union all select 'legacy', doc_id, count(distinct chapter_id) from paragraphs p where not exists (select 1 from chapter_candidates c where c.doc_id = p.doc_id and c.chapter_id = p.chapter_id) group by doc_id")
+def s15_current_and_legacy(spark, sf_dir):
+    """Chapters of the current store, and of the legacy one those that the current has not."""
+    now = table(spark, sf_dir, "chapter_candidates").select(*CH).distinct()
+    old = table(spark, sf_dir, "paragraphs").select(*CH).distinct().join(now, CH, "left_anti")
+    count = lambda df, name: df.groupBy("doc_id").agg(F.count("chapter_id").alias("chapters")).select(F.lit(name).alias("store"), "doc_id", "chapters")
+    return count(now, "current").unionByName(count(old, "legacy"))
+
+
+_PAIR = ["scene_summary", "goals", "problem_state", "causal_result", "titles", "mentions"]
+
+
+@query(
+    f"with {_ANSWER}, k as (select distinct t.trial_key, t.doc_id, t.chapter_id, t.stage_id, t.created_at, t.raw_response as r from llm_trials t join an on an.trial_key = t.trial_key and an.r = t.raw_response), w as (select *, lag(r) over (partition by doc_id, chapter_id, stage_id order by created_at, trial_key) as b from k)"
+    " select trial_key, list_filter([" + ", ".join(f"case when coalesce(cast(json_extract(r, '$.{x}') as varchar), '') <> coalesce(cast(json_extract(b, '$.{x}') as varchar), '') then '{x}' end" for x in _PAIR) + "], lambda x: x is not null) as changed from w where b is not null"
+)
+def p22_changed_fields(spark, sf_dir):
+    """Between an answer and the one before of its chapter and stage, the fields that differ."""
+    from pyspark.sql import Window
+
+    t = table(spark, sf_dir, "llm_trials").select("trial_key", *CH, "stage_id", "created_at", F.col("raw_response").alias("r")).distinct()
+    t = t.where(F.coalesce(F.get_json_object("r", "$").startswith("{"), F.lit(False)))
+    w = t.withColumn("b", F.lag("r").over(Window.partitionBy(*CH, "stage_id").orderBy("created_at", "trial_key"))).where("b is not null")
+    of = lambda c, x: F.coalesce(F.get_json_object(c, f"$.{x}"), F.lit(""))
+    return w.select("trial_key", F.filter(F.array(*[F.when(of("r", x) != of("b", x), F.lit(x)) for x in _PAIR]), lambda x: x.isNotNull()).alias("changed"))
