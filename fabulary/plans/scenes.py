@@ -82,7 +82,7 @@ def mentions(noted: DataFrame) -> DataFrame:
 
     ord numbers the entities of a chapter by first sight; one entity is one plain span of one kind.
     """
-    found = noted.select(*CH, "pid", F.explode("mentions").alias("m")).select(*CH, "pid", "m.*").distinct()
+    found = noted.select(*CH, "pid", F.explode("mentions").alias("m")).select(*CH, "pid", "m.*").repartition(*CH)  # moved once, for both windows
     first = found.withColumn("first_pid", F.min("pid").over(Window.partitionBy(*CH, "mention_type", "plain")))
     order = Window.partitionBy(*CH).orderBy("first_pid", "mention_type", "plain")
     return first.select(*CH, F.dense_rank().over(order).alias("ord"), "mention_type", "span", "plain", "pid", "start_char", "prep")
