@@ -49,6 +49,8 @@ WORDS = {
 _WORDS = {k: frozenset(v) for k, v in WORDS.items()}
 _ASKED = re.compile(r"\b(?:in|auf|en) (English|French|German|Spanish|Korean|Japanese|Chinese|Thai|Hindi)\b")
 _SCRIPTS = {"Korean": re.compile("[가-힣]"), "Japanese": re.compile("[ぁ-ゖァ-ヺー]"), "Chinese": re.compile("[一-鿿]"), "Thai": re.compile("[ก-๛]"), "Hindi": re.compile("[ऀ-ॿ]")}
+# How many Latin letters say what one sign of a script says; names in another script are not to outweigh a wording.
+_LETTERS_PER_SIGN = {"Chinese": 3, "Japanese": 3, "Korean": 2}
 _ABRUPT = re.compile(r"(?:^|[\s“„«(])(?:Dr|Mr|Mrs|Ms|St|Hr|Fr|Mme|Sr|Sra|Dra|No|vol|p|pág|art|cf|z|B|d|h|e|i|g|ej|a|[A-Z]|\d+)\.$")
 _ENDED = re.compile(r"[.!?。！？।॥][\"'”’»“)\]」』]*$|[.!?。！？।…][\"'”’»“)\]」』]+$")
 
@@ -102,7 +104,7 @@ def language(words: str) -> str | None:
     if counts["Japanese"]:
         counts["Japanese"] += counts.pop("Chinese")
     most = max(counts, key=counts.get)
-    if counts[most] * 3 > latin and counts[most] > 1:
+    if counts[most] * _LETTERS_PER_SIGN.get(most, 1) > latin and counts[most] > 1:
         return most
     found = re.findall(r"[a-zà-ÿß]+", words.lower())
     scores = {k: sum(w in v for w in found) for k, v in _WORDS.items()}

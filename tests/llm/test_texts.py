@@ -127,6 +127,8 @@ def test_pair_defects(spark):
     for response, want in cases.items():
         assert pairs.defects(ask, response) == want, response
     assert pairs.defects(None, "Etwas steht hier.") == []
+    assert pairs.language("„Ich kenne diesen mürben Kessel“, antwortete देवती. „Die Straße nach सोनगढ़ ist gesperrt“, sagte आरुवी.") == "German"
+    assert pairs.language("多么狭窄的夜晚啊! Chloé Raeldeld在塔楼脚下归还了木箱。") == "Chinese" and pairs.language("किसी को बताए बिना Anna Reed ने घड़ी जला दी।") == "Hindi"
     assert pairs.defects(ask, "[P1] The carter sold the lamp near the old bridge before dawn.")[:1] == ["prompt_copy"] and pairs.defects(ask, "[1, 2") == ["truncated"]
     df = spark.createDataFrame([(1, ask, None), (1, ask, None), (None, ask, None)], "trial_key long, prompt string, raw_response string")
     assert [(r.trial_key, r.defect, r["rank"]) for r in pairs.flag_pairs(df).collect()] == [(1, "empty", 1)]
