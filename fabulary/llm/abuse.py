@@ -21,6 +21,7 @@ count once, with the highest score. Labels with a null id or vote, and of unknow
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from math import exp, log
@@ -215,6 +216,8 @@ class Restorer:
         return _SPACED_DENSE.sub("", text) if not text.isascii() else text
 
 
+_CLOSED = re.compile("[。 ]*(?:[!,;.！、]|$)")
+_CALLED = re.compile(r"(?:^|[,:] )(?:\w+ ){0,2}$")
 _DENSE = re.compile("[฀-๿ऀ-ॿ぀-ヿ一-鿿가-힣]")
 _SENTENCE = re.compile(r"(?:[^.!?。！？।\n]|[.!?]+(?=[”’»\"\d])|[。！？]+(?=[”’」』]))+[.!?。！？।\n]*")
 
@@ -241,54 +244,68 @@ def _hits(text: str) -> Iterator[tuple[int, int, tuple[str, ...]]]:
             yield a, b, kinds
 
 
+def _after(spans: list[tuple[int, int]], at: int, most: int, least: int = 0) -> Iterator[tuple[int, int]]:
+    """Of spans in order, those that begin from `least` to `most` characters after a place."""
+    k = bisect_left(spans, (at + least,))
+    while k < len(spans) and spans[k][0] <= at + most:
+        yield spans[k]
+        k += 1
+
+
+def _near(xs: list[tuple[int, int]], ys: list[tuple[int, int]], gap: int) -> bool:
+    return any(True for x in xs for _ in _after(ys, x[1], gap, -1)) or any(True for y in ys for _ in _after(xs, y[1], gap, -1))
+
+
 def features(sentence: str, hits: list[tuple[int, int, tuple[str, ...]]]) -> list[str]:
-    """The names of the features of a sentence, from the words of the lists in it."""
+    """The names of the features of a sentence, from the words of the lists in it, in order."""
     by: dict[str, list[tuple[int, int]]] = {k: [] for k in LISTS}
     for a, b, kinds in hits:
         for k in kinds:
             by[k].append((a, b))
-    insults = [x for x in by["insult"] if not any(y != x and y[0] <= x[0] and x[1] <= y[1] for y in by["insult"])]
+    insults, reach = [], -1
+    for a, b in by["insult"]:  # a word inside a longer one is no word of its own
+        if b > reach:
+            insults.append((a, b))
+            reach = b
     has = {k: bool(v) for k, v in by.items()}
     out = {k for k in ("said", "lesser", "act", "quoted", "friendly") if has[k]}
     # A literal sense speaks for what stands on its own side of a closed quotation.
     sides = [m.end() for m in re.finditer('[.!?…][”»"]', sentence)]
-    side = lambda x: sum(e <= x[0] for e in sides)
-    if {side(x) for x in by["literal"]} & {side(x) for k in ("insult", "act", "bare", "adjective") for x in by[k]}:
+    side = lambda x: bisect_right(sides, x[0])
+    if has["literal"] and {side(x) for x in by["literal"]} & {side(x) for k in ("insult", "act", "bare", "adjective") for x in by[k]}:
         out.add("literal")
     if insults:
         out.add("insult")
-        near = lambda x, y, gap: -1 <= y[0] - x[1] <= gap or -1 <= x[0] - y[1] <= gap
-        if any(near(x, y, 40) for x in insults for y in by["address"]):
+        if _near(insults, by["address"], 40):
             out.add("insult_addressed")
-        ended = [(a, b) for a, b in insults if sentence[b:].lstrip("。 ")[:1] in ("!", ",", ";", "", ".", "！", "、")]
-        named = any(re.search(r"(?:^|[,:] )(?:\w+ ){0,2}$", sentence[:a]) for a, _ in ended) and (has["said"] or has["adjective"] or has["harm"] and has["address"])
+        ended = [(a, b) for a, b in insults if _CLOSED.match(sentence, b)]
+        named = (has["said"] or has["adjective"] or has["harm"] and has["address"]) and any(_CALLED.search(sentence, max(0, a - 60), a) for a, _ in ended)
         if named or has["said"] and ended or re.search(r"\bonly an? (?:\w+ ){1,3}would\b", sentence):
             out.add("insult_called")
-        if any(0 <= a - y <= 2 for a, _ in insults for _, y in by["adjective"]):
+        if any(True for y in by["adjective"] for _ in _after(insults, y[1], 2)):
             out.add("insult_qualified")
     if has["adjective"]:
         out.add("qualified")
     if len(by["said"]) > 1:
         out.add("said_twice")
     wide = lambda x: bool(_DENSE.match(sentence[x[0]]))
-    at_you = [(h, y) for h in by["harm"] for y in by["address"] if 0 <= y[0] - h[1] <= 26 and wide(h) == wide(y)]
+    at_you = [h for h in by["harm"] if any(wide(h) == wide(y) for y in _after(by["address"], h[1], 26))]
     if at_you:
         out.add("harm_at_you")
     if has["harm"] and has["address"] and has["wish"]:
         out.add("harm_wished_you")
-        if any(0 <= h[0] - w[1] <= 24 for h, _ in at_you for w in by["wish"]):
+        if any(True for w in by["wish"] for _ in _after(at_you, w[1], 24)):
             out.add("harm_announced")
-    things = set(by["lesser"]) - set(insults) | {x for x in by["lesser"] if x in insults}
-    if things and has["group"]:
+    if has["lesser"] and has["group"]:
         out.add("group_lesser")
-    if len(things) > 1:
+    if len(set(by["lesser"])) > 1:
         out.add("lesser_twice")
     if has["harm"] and has["lesser"]:
         out.add("lesser_harm")
-    wished = any(-2 <= h[0] - w[1] <= 14 for h in by["harm"] for w in by["wish"])
+    wished = any(True for w in by["wish"] for _ in _after(by["harm"], w[1], 14, -2))
     if wished:
         out.add("harm_wished")
-    if has["group"] and wished and not at_you and (has["insult"] or has["lesser"] or any(0 <= g[0] - h[1] <= 40 for g in by["group"] for h in by["harm"])):
+    if has["group"] and wished and not at_you and (has["insult"] or has["lesser"] or any(True for h in by["harm"] for _ in _after(by["group"], h[1], 40))):
         out.add("group_harm_wished")
     if has["act"] and has["bare"]:
         out.add("act_bare")
@@ -301,7 +318,7 @@ def features(sentence: str, hits: list[tuple[int, int, tuple[str, ...]]]) -> lis
 
 def sentences_of(text: str) -> list[tuple[int, int, list[str]]]:
     """(start, end, features) of the sentences of a restored text."""
-    hits = sorted(_hits(text))
+    hits = sorted(_hits(text), key=lambda h: (h[0], -h[1]))
     out, k = [], 0
     for m in _SENTENCE.finditer(text):
         a, b = m.span()
