@@ -382,12 +382,21 @@ def fit_scorer(rows: list[tuple[str, int, int]]) -> Scorer:
     dense[:, column["bias"]] = 1
     for i, (_, found, _) in enumerate(units):
         dense[i, [column[f] for f in found]] = 1
-    row = np.concatenate([np.full(len(g), i) for i, (_, _, g) in enumerate(units)])
+    # n-grams of all sentences one after another; a sentence's weigh 1 / sqrt(their number) each.
+    size = np.array([len(g) for _, _, g in units])
     gram = np.concatenate([g for _, _, g in units])
-    value = np.concatenate([np.full(len(g), 1 / max(1, len(g)) ** 0.5) for _, _, g in units])
+    scale = 1 / np.sqrt(np.maximum(1, size))
+    full = np.flatnonzero(size)
+    begin = np.concatenate([[0], np.cumsum(size[full])[:-1]]).astype(np.int64)
     w, v = START.copy(), np.zeros(1 << GRAM_BITS)
-    odds = lambda: np.clip(dense @ w + np.bincount(row, value * v[gram], minlength=len(units)), -30, 30)
-    spread = np.bincount(gram, value**2, minlength=len(v))
+
+    def odds() -> np.ndarray:
+        z = dense @ w
+        if len(full):
+            z[full] += scale[full] * np.add.reduceat(v[gram], begin)
+        return np.clip(z, -30, 30)
+
+    spread = np.bincount(gram, np.repeat(scale**2, size), minlength=len(v))
     false, missed = VOTE_ERROR, VOTE_ERROR
     for _ in range(FIT_ROUNDS):
         single = 1 / (1 + np.exp(-odds()))
@@ -402,7 +411,7 @@ def fit_scorer(rows: list[tuple[str, int, int]]) -> Scorer:
             step = 0.5 * (dense.T @ miss - HOLD * (w - START)) / (HOLD + 0.25 * dense.sum(0))
             step[column["bias"]] = 0.0  # stays: it sets what a sentence without any sign is worth, which labels of whole documents cannot tell
             w += step
-            lift = 0.5 * (np.bincount(gram, value * miss[row], minlength=len(v)) - GRAM_HOLD * v) / (GRAM_HOLD + 0.25 * spread)
+            lift = 0.5 * (np.bincount(gram, np.repeat(scale * miss, size), minlength=len(v)) - GRAM_HOLD * v) / (GRAM_HOLD + 0.25 * spread)
             v += lift
             if max(np.abs(step).max(), np.abs(lift).max()) < SETTLED:
                 break
