@@ -32,7 +32,8 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from math import exp, log
+from functools import lru_cache
+from math import exp, inf, log
 
 import numpy as np
 import pandas as pd
@@ -51,7 +52,8 @@ _ASKS = re.compile("[!?！？]")
 _LETTERS = re.compile(r".(?:[^\W\d_]|['’])*")
 _CLOSE = "”’)]」』»"
 _OPEN = "“„«‘(\"「『[¿¡"
-_SCRIPT = [("th", re.compile("[ก-๛]")), ("hi", re.compile("[ऀ-ॿ]")), ("ko", re.compile("[가-힣ᄀ-ᇿ]")), ("ja", re.compile("[ぁ-ヿｦ-ﾟ]")), ("zh", re.compile("[一-鿿]"))]
+_SCRIPT = [("th", re.compile("[ก-๛]+")), ("hi", re.compile("[ऀ-ॿ]+")), ("ko", re.compile("[가-힣ᄀ-ᇿ]+")), ("ja", re.compile("[ぁ-ヿｦ-ﾟ]+")), ("zh", re.compile("[一-鿿]+"))]
+_LATIN = re.compile("[A-Za-z]+")
 _ODD = re.compile("[^\t\n -~À-ʯ“”„‘’«»…—¡¿ऀ-़ा-ॿก-๛ぁ-ヿ一-鿿가-힣、。「」『』]")
 
 
@@ -91,25 +93,35 @@ _WIDE = re.compile("[ऀ-ॿก-๛ᄀ-ᇿぁ-ヿ一-鿿가-힣ｦ-ﾟ]")
 def script(text: str) -> str:
     if text.isascii() or not _WIDE.search(text):
         return "lat"
-    best = max(((len(p.findall(text)), s) for s, p in _SCRIPT if p.search(text)), default=(0, "lat"))
-    latin = len(re.findall("[A-Za-z]", text))
+    best = max((sum(map(len, p.findall(text))), s) for s, p in _SCRIPT)
+    latin = sum(map(len, _LATIN.findall(text)))
     if best[1] == "zh" and re.search("[ぁ-ヿ]", text):
         return "ja"
     return best[1] if best[0] * 2 >= latin and best[0] else "lat"
 
 
-def marks(t: str, kind: str, starts: frozenset[str] | set[str]) -> Iterator[tuple[int, str, str, bool]]:
+@lru_cache(4096)
+def _mark(signs: str) -> str:
+    """The kind of mark that signs in a row, closing quotes among them, stand for."""
+    return signs if signs == "." else "?" if _ASKS.search(signs) else "…" if signs[0] == "…" or signs.startswith("..") else "." if signs[0] == "." else "。"
+
+
+def marks(t: str, kind: str, starts: frozenset[str] | set[str]) -> list[tuple[int, str, str, bool]]:
     """(end, left, right, one word since the last mark) of every place where a sentence may end."""
-    german, quote = "„" in t, '"' in t
+    german, quote, french = "„" in t, '"' in t, " »" in t
+    blanks, latin = kind not in ("ko", "ja", "zh"), kind == "lat"
     n, last = len(t), 0
+    quotes = upto = 0
+    out = []
     for m in _MARK.finditer(t):
-        if m.start() < last:
+        i, e = m.span()
+        if i < last:
             continue
-        i, e = m.start(), m.end()
         closers = ""
-        while e < n and (t[e] != " " or t.startswith(" »", e)):
-            c = t[e]
-            if c in _CLOSE or c == '"' and quote and t.count('"', 0, e) % 2 or c == "“" and german and t.rfind("„", 0, e) > t.rfind("“", 0, e):
+        while e < n and ((c := t[e]) != " " or french and t.startswith(" »", e)):
+            if c == '"' and quote:
+                quotes, upto = quotes + t.count('"', upto, e), e
+            if c in _CLOSE or c == '"' and quotes % 2 or c == "“" and german and t.rfind("„", 0, e) > t.rfind("“", 0, e):
                 closers += c
                 e += 1
             elif c == " ":
@@ -122,66 +134,89 @@ def marks(t: str, kind: str, starts: frozenset[str] | set[str]) -> Iterator[tupl
         s = e
         while s < n and t[s] == " ":
             s += 1
-        signs = t[i:e]
-        mark = signs if signs == "." else "?" if _ASKS.search(signs) else "…" if t[i] == "…" or t.startswith("..", i) else "." if t[i] == "." else "。"
+        mark = (_mark if e - i < 9 else _mark.__wrapped__)(t[i:e])
         if s == n:
             right = "END"
         else:
-            c = t[s]
-            if s == e and mark == "." and not closers and (c.islower() or c.isdigit()):
+            if s == e and mark == "." and not closers and ((c := t[s]).islower() or c.isdigit()):
                 last = e
                 continue
             right = _right(t, s, n, starts)
         if closers:
             left = f"<{mark}{')' if closers in (')', ']') else chr(34)}>"
-        elif mark != "." or kind in ("ko", "ja", "zh"):
+        elif mark != "." or not blanks:
             left = f"<{mark}>"
         else:
             begin = max(t.rfind(" ", max(0, i - 24), i), i - 25)
             low = t[begin + 1 : i].lstrip("“„«‘(\"'「『[—¿¡").lower()
             digit = begin > 0 and t[begin - 1].isdigit()
             left = "#" if low.isdigit() else ("# " if digit else "") + low
-        yield e, left, right, i - last < 16 and kind == "lat" and t.count(" ", last, i) < 2
+        out.append((e, left, right, latin and i - last < 16 and t.count(" ", last, i) < 2))
         last = e
+    return out
+
+
+class _Kinds(dict):
+    """What a character is like on the right of a mark."""
+
+    def __missing__(self, c: str) -> str:
+        if c in ",;:、，；：)":
+            kind = "PUNCT"
+        elif c in "—–-":
+            kind = "dash-"
+        elif c in _OPEN:
+            kind = "open"
+        elif c.islower():
+            kind = "l"
+        elif c.isupper():
+            kind = "U"
+        elif c.isdigit():
+            kind = "digit"
+        else:
+            kind = "to" if c == "と" else "C" if c.isalpha() else "other"
+        self[c] = kind
+        return kind
+
+
+_KINDS = _Kinds()
 
 
 def _right(t: str, s: int, n: int, starts) -> str:
-    c = t[s]
-    if c in ",;:、，；：)":
-        return "PUNCT"
-    if c in "—–-":
+    kind = _KINDS[t[s]]
+    if kind == "U":
+        k = t.find(" ", s, s + 24)
+        if k < 0 or not (word := t[s:k]).isalpha():
+            k = _LETTERS.match(t, s).end()
+            word = t[s:k]
+        return "U." if k == s + 1 and t[k : k + 1] == "." else "U:" + word if word in starts else "U"
+    if kind == "dash-":
         k = s + 1
         while k < n and t[k] == " ":
             k += 1
-        return "PUNCT" if k == n else "dash-" + ("l" if t[k].islower() else "U")
-    if c in _OPEN:
-        return "open"
-    if c.islower():
-        return "l"
-    if c.isupper():
-        k = _LETTERS.match(t, s).end()
-        word = t[s:k]
-        return "U." if k == s + 1 and t[k : k + 1] == "." else "U:" + word if word in starts else "U"
-    if c.isdigit():
-        return "digit"
-    return "to" if c == "と" else "C" if c.isalpha() else "other"
+        return "PUNCT" if k == n else kind + ("l" if t[k].islower() else "U")
+    return kind
 
 
 def _thai_blanks(t: str) -> list[int]:
     """Ends before blanks outside quotes, and after a closing quote with a letter after it."""
-    out = []
+    signs = [m.start() for m in re.finditer("[“”]", t)]
+    out, k = [], 0
     for m in re.finditer(" +|”(?=[ก-๛])", t):
         if m.group() == "”":
             out.append(m.end())
             continue
-        ahead = re.compile("[“”]").search(t, m.end())
-        if ahead and ahead.group() == "”" or not ahead and t.rfind("“", 0, m.start()) > t.rfind("”", 0, m.start()):
+        while k < len(signs) and signs[k] < m.start():
+            k += 1
+        if signs and (t[signs[k]] == "”" if k < len(signs) else t[signs[-1]] == "“"):
             continue
         out.append(m.start())
     return out
 
 
 _GAP = re.compile(r"[^.!?…。！？।॥｡”’)\]»」』 ][ ]+(?=([A-ZÀ-ÞΑ-ΫА-Я][^\W\d_'’]*(?:['’][^\W\d_]+)*\.?|[^\s]))|([^.!?…。！？।॥｡ “„«‘(\"「『\[])(?=[“„«‘(「『])")
+# What _GAP finds on the right of gaps, in two searches that begin with a character to look for: the word or sign after a blank, and an opening sign next to a letter.
+_AFTER = re.compile(r" (?<=[^.!?…。！？।॥｡”’)\]»」』 ] ) *([A-ZÀ-ÞΑ-ΫА-Я][^\W\d_'’]*(?:['’][^\W\d_]+)*\.?|[^\s])")
+_BEFORE = re.compile("[“„«‘(「『](?<=[^.!?…。！？।॥｡ “„«‘(\"「『\\[].)")
 _FIRST = re.compile(r"[^\s“„«‘(\"「『\[¿¡—]")
 
 
@@ -200,7 +235,6 @@ def gap_classes(found: Counter, starts) -> Counter:
     """What was found on the right of places without a mark, by its class."""
     out: Counter = Counter()
     for w, n in found.items():
-        w = w or "“"
         if w[0].isupper():
             word = w.rstrip(".")
             out["U." if len(w) == 2 and w != word else "U:" + word if word in starts else "U"] += n
@@ -228,6 +262,7 @@ def count_contexts(texts: DataFrame, starts: frozenset[str]) -> DataFrame:
         total: Counter = Counter()
         for rows in batches:
             beside: dict[str, Counter] = {}
+            met: dict[str, Counter] = {}
             thai = {"th-al": Counter(), "th-ar": Counter()}
             for text in rows["text"]:
                 t, _ = clean(text)
@@ -249,17 +284,19 @@ def count_contexts(texts: DataFrame, starts: frozenset[str]) -> DataFrame:
                     continue
                 if first := _FIRST.search(t):
                     total[kind, "^", _fold(kind, "open" if first.start() else _right(t, first.start(), len(t), starts))] += 1
-                found = [w for w, _ in _GAP.findall(t)]
+                found = _AFTER.findall(t) + _BEFORE.findall(t)
                 beside.setdefault(kind, Counter()).update(found)
                 if kind in ("ja", "zh"):  # between characters, as blanks part no words
                     total[kind, "<>", "rest"] += max(0, len(t) - len(found))
-                for _, left, right, _ in marks(t, kind, starts):
-                    total[kind, left, _fold(kind, right)] += 1
+                met.setdefault(kind, Counter()).update([x[1:3] for x in marks(t, kind, starts)])
                 if t and not _MARK.search(t, max(0, len(t) - 4)):
                     total[kind, "<>", "END"] += 1
             for side, found in thai.items():
                 for gram, n in found.items():
                     total[side, gram, ""] += n
+            for kind, found in met.items():
+                for (left, right), n in found.items():
+                    total[kind, left, _fold(kind, right)] += n
             for kind, found in beside.items():
                 for c, n in gap_classes(found, starts).items():
                     total[kind, "<>", _fold(kind, c)] += n
@@ -401,6 +438,7 @@ class Model:
             self.left[r.script, r.left] = r.odds
 
     def _ratios(self) -> None:
+        self.follows: dict[tuple[str, str, str], float] = {}
         self.right = {(k[0] + k[1], r): max(-5.0, min(5.0, log(p / self.no[k][r]))) for k, yes in self.yes.items() for r, p in yes.items()}
         # The highest log odds of a gap without a mark over all right neighbours. Ties only lower a posterior, so where this is under zero no gap can pass one half, and none is laid out.
         self.gap_top = {kind: self.left.get((kind, "<>"), -9.0) + max((v for (f, _), v in self.right.items() if f == kind + "gap"), default=0.0) for kind in self.by}
@@ -414,17 +452,17 @@ class Model:
             if tail > 0.001 * total:
                 longest = length
                 break
-        # Log shares of the lengths up to the longest that is usual, each smoothed over its neighbours, and of any beyond it.
+        # Shares of the lengths up to the longest that is usual, each smoothed over its neighbours, and of any beyond it.
         near = [sum(lengths[k + d] * w for d, w in ((-2, 1), (-1, 2), (0, 3), (1, 2), (2, 1))) / 9 for k in range(1, longest + 3)]
-        self.thai_lengths = np.log((np.array(near) + 1e-3) / (total + 1)) if near else np.zeros(0)
-        self.thai_beyond = log(1e-3 / (total + 1))
+        self.thai_lengths = (np.array(near) + 1e-3) / (total + 1)
+        self.thai_beyond = 1e-3 / (total + 1)
         for k in ("th-l", "th-al", "th-r", "th-ar"):
             for gram, n in list(self.thai[k].items()):
                 for size in range(1, len(gram)):
                     self.thai[k][gram[-size:] if k[-1] == "l" else gram[:size]] += n
         events = sum(n for gram, n in self.thai["th-l"].items() if len(gram) == 1)
         self.thai_base = (events + 1) / (events + sum(n for gram, n in self.thai["th-al"].items() if len(gram) == 1) + 2)
-        self.thai_known: dict[tuple[str, str], float] = {}
+        self.thai_known: dict[str, dict[str, float]] = {"l": {}, "r": {}}
 
     @staticmethod
     def _unseen(left: str) -> float:
@@ -434,8 +472,11 @@ class Model:
         return -2.0 if len(left) == 1 or "." in left or left[:1] == "#" else 2.0 if len(left) < 4 else 4.0
 
     def follow(self, kind: str, family: str, right: str) -> float:
-        found = self.right.get((kind + family, _fold(kind, right)))
-        return self.right.get(("lat" + family, right), 0.0) if found is None else found
+        known = self.follows.get((kind, family, right))
+        if known is None:
+            found = self.right.get((kind + family, _fold(kind, right)))
+            known = self.follows[kind, family, right] = self.right.get(("lat" + family, right), 0.0) if found is None else found
+        return known
 
     def odds(self, kind: str, left: str, right: str) -> float:
         prior = self.left.get((kind, left))
@@ -445,57 +486,72 @@ class Model:
 
     def _thai_odds(self, side: str, gram: str) -> float:
         """How much a gram speaks for an event beside it; of grams seen seldom their shorter parts speak too."""
-        key = side, gram
-        if key not in self.thai_known:
-            p = base = self.thai_base
-            for k in range(1, len(gram) + 1):
-                part = gram[-k:] if side == "l" else gram[:k]
-                n = self.thai["th-" + side][part]
-                p = (n + BACKOFF * p) / (n + self.thai["th-a" + side][part] + BACKOFF)
-            self.thai_known[key] = log(p / (1 - p)) - log(base / (1 - base))
-        return self.thai_known[key]
+        p = base = self.thai_base
+        for k in range(1, len(gram) + 1):
+            part = gram[-k:] if side == "l" else gram[:k]
+            n = self.thai["th-" + side][part]
+            p = (n + BACKOFF * p) / (n + self.thai["th-a" + side][part] + BACKOFF)
+        known = self.thai_known[side][gram] = log(p / (1 - p)) - log(base / (1 - base))
+        return known
 
     def _thai_inside(self, t: str, lo: int, hi: int) -> list[int]:
         """Boundaries without a blank inside a stretch, by forward-backward over all ways to part it into sentences.
 
         A sentence counts by the odds of its length, a boundary by the odds of the characters beside it; none is inside quotes.
         """
+        t = t[lo:hi]
         g, n, span = THAI_GRAM, hi - lo, len(self.thai_lengths)
-        at = np.full(n + 1, -np.inf)
-        at[n] = 0.0
-        depth = 0
+        if n < 2:
+            return []
+        known_l, known_r = self.thai_known["l"], self.thai_known["r"]
+        quoted, depth = "“" in t, False
+        odds = [0.0] * n + [1.0]
         for j in range(1, n):
-            c = t[lo + j - 1]
-            depth = 1 if c == "“" else 0 if c == "”" else depth
-            if not depth:
-                i = lo + j
-                at[j] = self._thai_odds("l", t[max(lo, i - g) : i]) + self._thai_odds("r", t[i : min(hi, i + g)])
+            if quoted:
+                c = t[j - 1]
+                depth = c == "“" or depth and c != "”"
+                if depth:
+                    continue
+            before, after = t[max(0, j - g) : j], t[j : j + g]
+            a, b = known_l.get(before), known_r.get(after)
+            odds[j] = exp((self._thai_odds("l", before) if a is None else a) + (self._thai_odds("r", after) if b is None else b))
         usual, beyond = self.thai_lengths, self.thai_beyond
         # All ways with m inner boundaries weigh at most peak ** (m + 1) * (sum of their odds) ** m / m!; where all of them weigh less than the stretch left whole, no posterior passes one half.
         if n <= span:
-            peak, inner = exp(max(usual.max(), beyond)), np.exp(at[1:n]).sum()
-            if peak * inner < 50 and peak * (exp(peak * inner) - 1) < exp(usual[n - 1]):
+            peak, inner = max(usual.max(), beyond), sum(odds[1:n])
+            if peak * inner < 50 and peak * (exp(peak * inner) - 1) < usual[n - 1]:
                 return []
-        with np.errstate(divide="ignore"):
-            forward = np.full(n + 1, -np.inf)
-            forward[0], far = 0.0, -np.inf
-            for j in range(1, n + 1):
-                if j > span:
-                    far = np.logaddexp(far, forward[j - span - 1])
-                if at[j] > -np.inf:
-                    near = forward[max(0, j - span) : j] + usual[: min(j, span)][::-1]
-                    top = max(near.max(), far + beyond)
-                    forward[j] = at[j] + (top + log(np.exp(near - top).sum() + exp(far + beyond - top)) if top > -np.inf else -np.inf)
-            backward = np.full(n + 1, -np.inf)
-            backward[n], far = 0.0, -np.inf
-            for j in range(n - 1, -1, -1):
-                if j + span + 1 <= n:
-                    far = np.logaddexp(far, backward[j + span + 1] + at[j + span + 1])
-                if j == 0 or at[j] > -np.inf:
-                    near = backward[j + 1 : j + span + 1] + at[j + 1 : j + span + 1] + usual[: min(n - j, span)]
-                    top = max(near.max(), far + beyond)
-                    backward[j] = top + log(np.exp(near - top).sum() + exp(far + beyond - top)) if top > -np.inf else -np.inf
-        return [lo + j for j in range(1, n) if forward[j] + backward[j] - forward[n] > log(0.5)]
+        forward = self._thai_sums(odds, usual, beyond)
+        # Nor does any where the stretch left whole has one half.
+        if log(usual[n - 1] if n <= span else beyond) - forward[n] >= log(0.5):
+            return []
+        # From the end the same sums run over the boundaries in turned order; each has the odds of its own boundary too, which count once.
+        backward = self._thai_sums([1.0, *odds[n - 1 : 0 : -1], 1.0], usual, beyond)
+        half = forward[n] + log(0.5)
+        return [lo + j for j in range(1, n) if odds[j] and forward[j] + backward[n - j] - log(odds[j]) > half]
+
+    @staticmethod
+    def _thai_sums(odds: list[float], usual: np.ndarray, beyond: float) -> list[float]:
+        """Log of the summed weight of all ways to part a stretch up to each place where a boundary has odds."""
+        n, span = len(odds) - 1, len(usual)
+        turned = usual[::-1].copy()
+        sums, out = np.zeros(n + 1), [-inf] * (n + 1)
+        sums[0] = 1.0
+        out[0] = far = scale = 0.0
+        for j in range(1, n + 1):
+            if j > span:
+                far += float(sums[j - span - 1])
+            if odds[j]:
+                w = min(j, span)
+                x = odds[j] * (float(sums[j - w : j].dot(turned[span - w :])) + far * beyond)
+                out[j] = log(x) + scale
+                if x > 1e100:  # all that later places read is made smaller
+                    sums[j - w : j] /= x
+                    far /= x
+                    scale += log(x)
+                    x = 1.0
+                sums[j] = x
+        return out
 
     def ends(self, text: str) -> list[int]:
         """The offsets after the sentences of a text."""
@@ -520,17 +576,14 @@ class Model:
             if self.gap_top.get(kind, -9.0) > GAP_FLOOR:
                 chain = sorted([*chain, *((e, self.odds(kind, "<>", right), False) for e, right in gaps(t, kind, self.starts))])
             found = self._decode(chain)
-        whole = len(text)
-        out = []
-        for e in found:
-            x = e if offsets is None else offsets[e - 1] + 1 if e else 0
-            if t[e:].strip(" ") and x > 0:
-                out.append(x)
-        return [*out, whole]
+        last = len(t.rstrip(" "))
+        return [*(e if offsets is None else offsets[e - 1] + 1 for e in found if 0 < e < last), len(text)]
 
     @staticmethod
     def _decode(chain: list[tuple[int, float, bool]]) -> list[int]:
         """Forward-backward over runs of marks that are tied; elsewhere the posterior is the mark's own."""
+        if not any([x[2] for x in chain[1:]]):
+            return [e for e, odds, _ in chain if odds > 0]
         out, k = [], 0
         while k < len(chain):
             j = k + 1

@@ -1,4 +1,5 @@
 import random
+import time
 
 from fabulary.llm import abuse, leakage, mixing, names, pairs, sentences
 
@@ -261,3 +262,28 @@ def test_thai_without_blanks_is_parted(spark):
         ends = [sum(map(len, some[: k + 1])) for k in range(len(some))]
         assert model.ends("".join(some)) == ends
     assert model.ends(said[0]) == [len(said[0])] and model.ends("เตา;สมอ;" * 40) == [320]
+
+
+def test_a_long_text_takes_time_in_proportion():
+    def seconds(text):
+        best = []
+        for _ in range(2):
+            began = time.process_time()
+            assert len(model.ends(text)) > 1000
+            best.append(time.process_time() - began)
+        return min(best)
+
+    model = sentences.Model([], frozenset())
+    for some in ("It was late. He slept on. ", "ขาย ซ่อมสมอ "):
+        assert seconds(some * 64_000) < 10 * seconds(some * 16_000)
+
+
+def test_thai_stretches_whose_parts_weigh_more_than_a_float_holds():
+    rng = random.Random(4)
+    rows = [("th-len", str(k), "", 50) for k in (6, 7, 8)] + [("th-l", "ขา", "", 500), ("th-al", "ขา", "", 1), ("th-r", "เด", "", 500), ("th-ar", "เด", "", 1), ("th-al", "กน", "", 10**6), ("th-ar", "กน", "", 10**6)]
+    model = sentences.Model(rows, frozenset())
+    said = ["เด" + "".join(rng.choice("กนมต") for _ in range(rng.randint(2, 4))) + "ขา" for _ in range(300)]
+    want = [sum(map(len, said[: k + 1])) for k in range(len(said))]
+    assert model.ends("".join(said)) == want
+    quoted = "“" + "".join(said[:20]) + "”" + "".join(said[20:])
+    assert model.ends(quoted)[-279:] == [x + 2 for x in want[21:]]
